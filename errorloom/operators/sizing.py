@@ -1,0 +1,34 @@
+"""Measuring a lookup table before deciding how to join it."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from errorloom.config import shared_folder
+
+BROADCAST_BYTES = 64 * 1024 * 1024
+ROW_BYTES = 64
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder, so that losing an executor loses nothing."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Text bytes plus a fixed share per row, added up on the executors."""
+    size = F.lit(ROW_BYTES)
+    for field in df.schema:
+        if isinstance(field.dataType, StringType):
+            size = size + F.coalesce(F.octet_length(F.col(field.name)), F.lit(0))
+    return df.agg(F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()[0]
+
+
+def measured_lookup(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The table, computed once, and marked for broadcast only if it measures up.
+
+    Above the bound the join stays a sort-merge join, in which adaptive execution splits hot keys.
+    """
+    table = cut_lineage(df)
+    return F.broadcast(table) if measured_bytes(table) <= max_bytes else table
