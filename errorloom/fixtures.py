@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from errorloom.functions import request, signing
 from errorloom.golden_agents import GOLDEN_AGENTS
-from errorloom.schemas import BROWSERS
 
 EVENTS = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -34,7 +33,11 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def browsers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(*row, None) for row in KNOWN_BROWSERS], BROWSERS)
+    rows = ", ".join(f"({id_}, '{type_}', '{version}')" for id_, type_, version in KNOWN_BROWSERS)
+    return spark.sql(
+        "select cast(id as bigint) as id, type, version, cast(null as timestamp_ntz) as date"
+        f" from values {rows} as known(id, type, version)"
+    )
 
 
 def reports(events: DataFrame) -> DataFrame:

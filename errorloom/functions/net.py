@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 IPV4 = r"((?:[0-9]+\.){3}[0-9]+)"
+OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
 def chosen_address(xff: Column, remote_addr: Column) -> Column:
@@ -20,15 +21,32 @@ def ipv4_matches(address: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(address, F.lit("")), F.lit(IPV4), F.lit(1)))
 
 
+def counted_ipv4(address: Column, multi_ip: str) -> Column:
+    """The dotted quad that counts: the first one, or ("reject") the only one.
+
+    Text that is no address where there is none.
+    """
+    if multi_ip == "first":
+        return F.regexp_extract(F.coalesce(address, F.lit("")), IPV4, 1)
+    return F.array_join(ipv4_matches(address), " ")
+
+
+def is_ipv4(text: Column) -> Column:
+    return text.rlike(f"^(?:{OCTET}[.]){{3}}{OCTET}$")
+
+
+def octets_to_long(octets: Column) -> Column:
+    """An array of four numbers as text to a bigint; null unless all are 0..255."""
+    value = F.lit(0).cast("bigint")
+    for position in range(4):
+        octet = F.get(octets, F.lit(position)).try_cast("int")
+        value = value * 256 + F.when(octet <= 255, octet)
+    return F.when(F.size(octets) == 4, value)
+
+
 def dotted_to_long(dotted: Column) -> Column:
     """a.b.c.d as a bigint; null unless all four parts are 0..255."""
-    octets = [F.split_part(dotted, F.lit("."), F.lit(n)).try_cast("int") for n in (1, 2, 3, 4)]
-    valid = octets[0] <= 255
-    value = octets[0].cast("bigint")
-    for octet in octets[1:]:
-        valid = valid & (octet <= 255)
-        value = value * 256 + octet
-    return F.when(valid, value)
+    return octets_to_long(F.split(dotted, r"\."))
 
 
 def long_to_dotted(ip: Column) -> Column:

@@ -11,7 +11,8 @@ MAX_LINE = 16_777_215  # largest unsigned 24-bit number, the range of a line num
 def url_decode(text: Column) -> Column:
     """Percent-decode; ``+`` is a space and a broken ``%`` sequence stays as it is."""
     mended = F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25")
-    return F.coalesce(F.try_url_decode(text), F.try_url_decode(mended), text)
+    decoded = F.coalesce(F.try_url_decode(text), F.try_url_decode(mended), text)
+    return F.when(text.contains("%") | text.contains("+"), decoded).otherwise(text)
 
 
 def url_encode(text: Column) -> Column:
@@ -30,19 +31,20 @@ def url_encode(text: Column) -> Column:
     return encoded
 
 
-def _last_occurrence(name):
-    # The greedy prefix skips to the last occurrence.
-    return rf"(?s)^(?:.*&)?{re.escape(name)}(?:=([^&]*))?(?:&.*)?$"
-
-
 def text_parameter(query: Column, name: str) -> Column:
     """The decoded value of the parameter's last occurrence; empty text if it never occurs."""
-    return url_decode(F.regexp_extract(F.coalesce(query, F.lit("")), _last_occurrence(name), 1))
+    padded = F.concat(F.lit("&"), F.coalesce(query, F.lit("")), F.lit("&"))
+    last = F.substring_index(F.substring_index(padded, f"&{name}=", -1), "&", 1)
+    # Without an occurrence the first cut leaves everything and the second leaves nothing. A bare
+    # "name", without "=", is rare; the greedy prefix finds the last occurrence of any form.
+    careful = F.regexp_extract(padded, rf"(?s)^.*&{re.escape(name)}(?:=([^&]*))?&", 1)
+    return url_decode(F.when(padded.contains(f"&{name}&"), careful).otherwise(last))
 
 
 def parameter(query: Column, name: str) -> Column:
     """As ``text_parameter``, but null if the parameter never occurs."""
-    return F.when(query.rlike(_last_occurrence(name)), text_parameter(query, name))
+    occurs = F.concat(F.lit("&"), query, F.lit("&")).rlike(f"&{re.escape(name)}[=&]")
+    return F.when(occurs, text_parameter(query, name))
 
 
 def parameter_values(query: Column) -> Column:

@@ -10,7 +10,7 @@ from errorloom.operators.browsers import attach_browser_id, new_browsers
 from errorloom.operators.feed import OPEN
 from errorloom.operators.sizing import cut_lineage, measured_bytes
 from errorloom.operators.tallies import tally
-from errorloom.sources.tables import create_tables, read_table, write_batch
+from errorloom.sources.tables import read_table, write_batch
 
 
 def agents_seen(events: DataFrame) -> DataFrame:
@@ -60,12 +60,11 @@ def run_batch(raw: DataFrame, config: Config, batch_id: int = 0) -> None:
     partitions.
     """
     spark, uri = raw.sparkSession, config.write_uri
-    create_tables(spark, uri)
     triaged = triage(raw, config.multi_ip, config.screen_keywords, config.require_signature)
     events = accepted(triaged)
 
     agents = cut_lineage(agents_seen(events))
-    known = read_table(spark, uri, "browsers", before_batch=batch_id)
+    known = read_table(spark, uri, "browsers", before_batch=batch_id, missing_ok=True)
     write_batch(new_browsers(agents, known), uri, "browsers", batch_id)
 
     browsers = read_table(spark, uri, "browsers", before_batch=batch_id + 1)

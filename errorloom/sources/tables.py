@@ -4,6 +4,7 @@ A batch owns its ``batch_id`` partitions. Writing one again replaces it, so a ba
 twice, after a lost driver or a replay of the stream, leaves one copy.
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, LongType, StructType
@@ -40,20 +41,27 @@ def write_batch(df: DataFrame, uri: str, name: str, batch_id: int) -> None:
     )
 
 
-def create_tables(spark: SparkSession, uri: str) -> None:
-    """Makes every table readable before its first batch. Existing rows stay."""
-    for name, schema in SCHEMAS.items():
-        write_batch(spark.createDataFrame([], schema), uri, name, batch_id=-1)
-
-
 def read_table(
-    spark: SparkSession, uri: str, name: str, before_batch: int | None = None, batch: int | None = None
+    spark: SparkSession,
+    uri: str,
+    name: str,
+    before_batch: int | None = None,
+    batch: int | None = None,
+    missing_ok: bool = False,
 ) -> DataFrame:
-    """The table's columns, of all batches, of earlier ones, or of one. Unread batches are pruned."""
+    """The table's columns, of all batches, of earlier ones, or of one. Unread batches are pruned.
+
+    With ``missing_ok`` a table that was never written reads as empty.
+    """
     schema = StructType(list(SCHEMAS[name].fields))
     for column in partition_columns(name):
         schema = schema.add(column, DateType() if column == "day" else LongType())
-    rows = spark.read.schema(schema).parquet(location(uri, name))
+    try:
+        rows = spark.read.schema(schema).parquet(location(uri, name))
+    except AnalysisException:
+        if not missing_ok:
+            raise
+        rows = spark.createDataFrame([], schema)
     if before_batch is not None:
         rows = rows.where(F.col("batch_id") < before_batch)
     if batch is not None:
