@@ -24,12 +24,13 @@ def first_appearances(events: DataFrame) -> DataFrame:
     )
 
 
-def new_browsers(events: DataFrame, browsers: DataFrame) -> DataFrame:
+def new_browsers(events: DataFrame, browsers: DataFrame, above: DataFrame | None = None) -> DataFrame:
     """The dimension rows that the events add: id, type, version, date.
 
-    Pairs are equal regardless of case and keep the spelling seen first. A new row's id is the
-    highest id in use plus the id of the event that brought it: unique and in order of appearance
-    without numbering all new rows in one task, and the same whenever a batch is replayed.
+    Pairs are equal regardless of case and keep the spelling seen first. A new row's id is the id of
+    the event that brought it, plus the highest id in ``above`` (by default all of ``browsers``):
+    unique and in order of appearance without numbering all new rows in one task, and the same
+    whenever a batch is replayed.
     """
     spellings = _with_keys(first_appearances(events))
     pairs = spellings.groupBy(*KEYS).agg(
@@ -37,7 +38,7 @@ def new_browsers(events: DataFrame, browsers: DataFrame) -> DataFrame:
         F.min("id").alias("first_id"),
         F.min("received_at").alias("date"),
     )
-    highest = F.coalesce(browsers.select(F.max("id")).scalar(), F.lit(0))
+    highest = F.coalesce((browsers if above is None else above).select(F.max("id")).scalar(), F.lit(0))
     return pairs.join(_with_keys(browsers).select(*KEYS), list(KEYS), "left_anti").select(
         (highest + F.col("first_id")).cast("bigint").alias("id"),
         F.col("pair.type").alias("type"),
@@ -49,9 +50,7 @@ def new_browsers(events: DataFrame, browsers: DataFrame) -> DataFrame:
 def attach_browser_id(events: DataFrame, browsers: DataFrame) -> DataFrame:
     """Replaces ``type`` and ``version`` with ``browser``, the smallest id of the pair."""
     ids = _with_keys(browsers).groupBy(*KEYS).agg(F.min("id").cast("bigint").alias("browser"))
-    return (
-        _with_keys(events).join(ids, list(KEYS)).drop(*KEYS, "type", "version")
-    )
+    return _with_keys(events).join(ids, list(KEYS)).drop(*KEYS, "type", "version")
 
 
 def with_browser(rows: DataFrame, browsers: DataFrame) -> DataFrame:

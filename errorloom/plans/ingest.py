@@ -55,7 +55,7 @@ def to_reports(
 def run_batch(raw: DataFrame, config: Config, batch_id: int = 0) -> None:
     """Writes the batch's new browsers, reports, rejects and tallies.
 
-    Batches have growing ids and one writer. Running a batch again, whole or after a failure half
+    Batches are numbered from 0, each number once, and have one writer. Running a batch again, whole or after a failure half
     way, gives the same tables: it reads only browsers of earlier batches and replaces its own
     partitions.
     """
@@ -65,7 +65,10 @@ def run_batch(raw: DataFrame, config: Config, batch_id: int = 0) -> None:
 
     agents = cut_lineage(agents_seen(events))
     known = read_table(spark, uri, "browsers", before_batch=batch_id, missing_ok=True)
-    write_batch(new_browsers(agents, known), uri, "browsers", batch_id)
+    # Rows brought in from elsewhere sit under a negative batch; event ids start above theirs, so
+    # the ids of all other rows are unique as the event ids are.
+    imported = read_table(spark, uri, "browsers", before_batch=0, missing_ok=True)
+    write_batch(new_browsers(agents, known, above=imported), uri, "browsers", batch_id)
 
     browsers = read_table(spark, uri, "browsers", before_batch=batch_id + 1)
     reports = to_reports(events, agents, browsers, config.max_dictionary_bytes)
