@@ -5,6 +5,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from errorloom.functions.let import let
+
 MAX_LINE = 16_777_215  # largest unsigned 24-bit number, the range of a line number
 
 
@@ -31,20 +33,24 @@ def url_encode(text: Column) -> Column:
     return encoded
 
 
-def text_parameter(query: Column, name: str) -> Column:
-    """The decoded value of the parameter's last occurrence; empty text if it never occurs."""
+def _last_value(query, name):
     padded = F.concat(F.lit("&"), F.coalesce(query, F.lit("")), F.lit("&"))
     last = F.substring_index(F.substring_index(padded, f"&{name}=", -1), "&", 1)
     # Without an occurrence the first cut leaves everything and the second leaves nothing. A bare
     # "name", without "=", is rare; the greedy prefix finds the last occurrence of any form.
     careful = F.regexp_extract(padded, rf"(?s)^.*&{re.escape(name)}(?:=([^&]*))?&", 1)
-    return url_decode(F.when(padded.contains(f"&{name}&"), careful).otherwise(last))
+    return F.when(padded.contains(f"&{name}&"), careful).otherwise(last)
+
+
+def text_parameter(query: Column, name: str) -> Column:
+    """The decoded value of the parameter's last occurrence; empty text if it never occurs."""
+    return url_decode(_last_value(query, name))
 
 
 def parameter(query: Column, name: str) -> Column:
     """As ``text_parameter``, but null if the parameter never occurs."""
     occurs = F.concat(F.lit("&"), query, F.lit("&")).rlike(f"&{re.escape(name)}[=&]")
-    return F.when(occurs, text_parameter(query, name))
+    return F.when(occurs, let(_last_value(query, name), url_decode))
 
 
 def parameter_values(query: Column) -> Column:
@@ -53,12 +59,13 @@ def parameter_values(query: Column) -> Column:
     names = F.array_distinct(F.transform(pairs, _name))
     return F.transform(
         names,
-        lambda name: url_decode(
+        lambda name: let(
             F.regexp_replace(
                 F.try_element_at(F.filter(pairs, lambda pair: _name(pair) == name), F.lit(-1)),
                 "^[^=]*=?",
                 "",
-            )
+            ),
+            url_decode,
         ),
     )
 

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from errorloom.functions import net, request, signing
+from errorloom.functions.let import let
 
 # Text that no request value may contain when screening is on. The fifth is the
 # full-width space.
@@ -73,8 +74,9 @@ def is_signed(query: Column) -> Column:
     key = F.concat(
         *[F.coalesce(request.parameter(query, name), F.lit("0")) for name in ("p", "t", "f")]
     )
-    given = F.coalesce(request.parameter(query, "cr"), F.lit("0"))
-    return (given != "0") & (given == signing.signature(key, request.text_parameter(query, "k")))
+    time = F.coalesce(request.parameter(query, "k"), F.lit(""))
+    code = signing.signature(key, time)
+    return let(request.parameter(query, "cr"), lambda given: given.isNotNull() & (given != "0") & (given == code))
 
 
 def verify_signed(raw: DataFrame) -> DataFrame:

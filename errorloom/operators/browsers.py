@@ -1,13 +1,15 @@
 """The (type, version) dimension: get-or-create, and the lookups against it.
 
-No lookup forces a broadcast. The dimension is a small table by nature, but its versions come from
-outside, so Spark's own size limit decides: below it the lookup is a broadcast join, above it a
-sort-merge join whose hot keys adaptive execution splits.
+The dimension is small by nature, but its versions come from outside. A lookup for every report
+therefore measures it first and broadcasts it only within a bound; a lookup for groups, which are
+few, leaves the choice to Spark.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from errorloom.operators.sizing import BROADCAST_BYTES, broadcast_if_small
+
 UNKNOWN = "unknown"
 KEYS = ("type_key", "version_key")
 
@@ -47,24 +49,54 @@ def new_browsers(events: DataFrame, browsers: DataFrame, above: DataFrame | None
     )
 
 
-def attach_browser_id(events: DataFrame, browsers: DataFrame) -> DataFrame:
-    """Replaces ``type`` and ``version`` with ``browser``, the smallest id of the pair."""
-    ids = _with_keys(browsers).groupBy(*KEYS).agg(F.min("id").cast("bigint").alias("browser"))
-    return _with_keys(events).join(ids, list(KEYS)).drop(*KEYS, "type", "version")
+def ids_by_pair(browsers: DataFrame) -> DataFrame:
+    """The smallest id of every pair, as ``browser``."""
+    return _with_keys(browsers).groupBy(*KEYS).agg(F.min("id").cast("bigint").alias("browser"))
 
 
-def with_browser(rows: DataFrame, browsers: DataFrame) -> DataFrame:
-    """Adds ``type`` and ``version`` by ``browser``; "unknown" where the dimension has no row."""
-    named = browsers.groupBy(F.col("id").alias("browser")).agg(
-        F.min(F.struct("type", "version")).alias("_named")
+def names_by_id(browsers: DataFrame) -> DataFrame:
+    """One (type, version) per id; the id is called ``browser``."""
+    return browsers.groupBy(F.col("id").alias("browser")).agg(
+        F.min(F.struct("type", "version")).alias("named")
     )
+
+
+def _attach(rows, ids):
+    return _with_keys(rows).join(ids, list(KEYS)).drop(*KEYS, "type", "version")
+
+
+def _name(rows, names):
     return (
-        rows.join(named, "browser", "left")
+        rows.join(names, "browser", "left")
         .withColumns(
             {
-                "type": F.coalesce(F.col("_named.type"), F.lit(UNKNOWN)),
-                "version": F.coalesce(F.col("_named.version"), F.lit(UNKNOWN)),
+                "type": F.coalesce(F.col("named.type"), F.lit(UNKNOWN)),
+                "version": F.coalesce(F.col("named.version"), F.lit(UNKNOWN)),
             }
         )
-        .drop("_named")
+        .drop("named")
     )
+
+
+def attach_browser_id(
+    events: DataFrame, browsers: DataFrame, max_lookup_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Replaces ``type`` and ``version`` of every event with ``browser``, the pair's smallest id."""
+    return _attach(events, broadcast_if_small(ids_by_pair(browsers), max_lookup_bytes))
+
+
+def attach_browser_id_to_groups(groups: DataFrame, browsers: DataFrame) -> DataFrame:
+    """The same for a few rows."""
+    return _attach(groups, ids_by_pair(browsers))
+
+
+def name_browser(
+    reports: DataFrame, browsers: DataFrame, max_lookup_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Adds ``type`` and ``version`` to every report; "unknown" where the dimension has no row."""
+    return _name(reports, broadcast_if_small(names_by_id(browsers), max_lookup_bytes))
+
+
+def name_browser_of_groups(groups: DataFrame, browsers: DataFrame) -> DataFrame:
+    """The same for a few rows."""
+    return _name(groups, names_by_id(browsers))

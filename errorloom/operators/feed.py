@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from errorloom.functions import net, text
-from errorloom.operators.browsers import with_browser
+from errorloom.operators.browsers import name_browser
+from errorloom.operators.sizing import BROADCAST_BYTES
 
 OPEN = 0
 
@@ -13,9 +14,14 @@ def only_open(reports: DataFrame) -> DataFrame:
     return reports.where(F.col("status") == OPEN)
 
 
-def open_reports(reports: DataFrame, browsers: DataFrame) -> DataFrame:
-    """Every open report with its browser, dotted address and fingerprint. No shuffle of reports."""
-    return with_browser(only_open(reports), browsers).select(
+def open_reports(
+    reports: DataFrame, browsers: DataFrame, max_lookup_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Every open report with its browser, dotted address and fingerprint.
+
+    Reports are not shuffled, unless the browser dimension outgrows the bound.
+    """
+    return name_browser(only_open(reports), browsers, max_lookup_bytes).select(
         "id",
         "file",
         "line",

@@ -4,30 +4,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from errorloom.functions import net, text
-from errorloom.operators.browsers import with_browser
+from errorloom.operators.browsers import name_browser_of_groups
 from errorloom.operators.feed import OPEN, only_open
+from errorloom.operators.sizing import BROADCAST_BYTES, measured_lookup
 from errorloom.operators.tallies import regroup, tally
 
 RESOLVED = 1
 
 
-def _marked(reports, hashes):
-    listed = hashes.select("hash").distinct()
-    return reports.withColumn("hash", text.fingerprint(F.col("message"), F.col("line"))), listed
+def _marked(reports):
+    return reports.withColumn("hash", text.fingerprint(F.col("message"), F.col("line")))
 
 
-def resolve(reports: DataFrame, hashes: DataFrame) -> DataFrame:
+def resolve(reports: DataFrame, hashes: DataFrame, max_lookup_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The reports, those with a listed fingerprint marked as fixed."""
-    marked, listed = _marked(reports, hashes)
-    listed = listed.withColumn("_hit", F.lit(True))
+    listed = hashes.select("hash", F.lit(True).alias("_hit")).distinct()
     status = F.when(F.col("_hit"), F.lit(RESOLVED)).otherwise(F.col("status"))
-    return marked.join(listed, "hash", "left").withColumn("status", status).select(*reports.columns)
+    return (
+        _marked(reports)
+        .join(measured_lookup(listed, max_lookup_bytes), "hash", "left")
+        .withColumn("status", status)
+        .select(*reports.columns)
+    )
 
 
-def delete(reports: DataFrame, hashes: DataFrame) -> DataFrame:
+def delete(reports: DataFrame, hashes: DataFrame, max_lookup_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The reports without those that have a listed fingerprint."""
-    marked, listed = _marked(reports, hashes)
-    return marked.join(listed, "hash", "left_anti").select(*reports.columns)
+    listed = measured_lookup(hashes.select("hash").distinct(), max_lookup_bytes)
+    return _marked(reports).join(listed, "hash", "left_anti").select(*reports.columns)
 
 
 def message_browsers(tallies: DataFrame) -> DataFrame:
@@ -71,7 +75,7 @@ def affected(
         clients = tally(rows, "ip")
     else:
         # Counted per browser id first, so the lookup sees counts and not reports.
-        per_browser = with_browser(tally(rows, "ip", "browser"), browsers)
+        per_browser = name_browser_of_groups(tally(rows, "ip", "browser"), browsers)
         clients = regroup(per_browser.where(F.col("type") == browser), "ip")
     return clients.select(
         net.long_to_dotted(F.col("ip")).alias("ip"), "times", "first_report", "last_report"

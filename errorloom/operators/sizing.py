@@ -25,10 +25,14 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()[0]
 
 
-def measured_lookup(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The table, computed once, and marked for broadcast only if it measures up.
+def broadcast_if_small(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The table, marked for broadcast only if it measures up.
 
     Above the bound the join stays a sort-merge join, in which adaptive execution splits hot keys.
     """
-    table = cut_lineage(df)
     return F.broadcast(table) if measured_bytes(table) <= max_bytes else table
+
+
+def measured_lookup(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """As ``broadcast_if_small``, for a table that is costly to compute: it is computed once."""
+    return broadcast_if_small(cut_lineage(df), max_bytes)

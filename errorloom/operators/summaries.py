@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from errorloom.functions import text, times
-from errorloom.operators.browsers import with_browser
+from errorloom.operators.browsers import name_browser, name_browser_of_groups
 from errorloom.operators.feed import only_open
 from errorloom.operators.sizing import BROADCAST_BYTES, measured_lookup
 from errorloom.operators.tallies import regroup, tally
@@ -35,7 +35,7 @@ def message_summary(tallies: DataFrame, browsers: DataFrame, danger_at: int = 3)
     Takes tallies by all keys. The browser is looked up for the groups, not for the reports.
     """
     groups = message_groups(tallies).select("*", "last.*").drop("last", "last_id")
-    return _with_hours(with_browser(groups, browsers)).select(
+    return _with_hours(name_browser_of_groups(groups, browsers)).select(
         "hash",
         "message",
         "file",
@@ -71,7 +71,7 @@ def with_age(summary: DataFrame, as_of) -> DataFrame:
 
 def browser_versions(tallies: DataFrame, browsers: DataFrame, type: str | None = None) -> DataFrame:
     """Reports per (type, version), of one type if given. Takes tallies by at least ``browser``."""
-    named = with_browser(regroup(tallies, "browser"), browsers)
+    named = name_browser_of_groups(regroup(tallies, "browser"), browsers)
     if type is not None:
         named = named.where(F.col("type") == type)
     return regroup(named, "type", "version").drop("last_id")
@@ -98,7 +98,7 @@ def browser_summary_since_newest_version(
 
     Two passes over id, browser and date of the open reports: one for the cuts, one for the times.
     """
-    per_browser = with_browser(tally(reports, "browser"), browsers)
+    per_browser = name_browser_of_groups(tally(reports, "browser"), browsers)
     cuts = (
         regroup(per_browser, "type", "version")
         .groupBy("type")
@@ -129,10 +129,12 @@ def script_summary(tallies: DataFrame) -> DataFrame:
     return regroup(tallies, "file").drop("last_id")
 
 
-def script_details(reports: DataFrame, browsers: DataFrame, file: str) -> DataFrame:
+def script_details(
+    reports: DataFrame, browsers: DataFrame, file: str, max_lookup_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """Every open report of one script, unordered; sort by ``id`` to display."""
     rows = only_open(reports).where(F.col("file") == file)
-    return with_browser(rows, browsers).select(
+    return name_browser(rows, browsers, max_lookup_bytes).select(
         "id",
         text.browser_label(F.col("type"), F.col("version")).alias("browser_label"),
         "line",

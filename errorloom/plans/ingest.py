@@ -6,7 +6,11 @@ from pyspark.sql import functions as F
 from errorloom.config import Config
 from errorloom.operators.agents import apply_rules
 from errorloom.operators.beacons import accepted, decode_requests, rejects, triage
-from errorloom.operators.browsers import attach_browser_id, new_browsers
+from errorloom.operators.browsers import (
+    attach_browser_id,
+    attach_browser_id_to_groups,
+    new_browsers,
+)
 from errorloom.operators.feed import OPEN
 from errorloom.operators.sizing import cut_lineage, measured_bytes
 from errorloom.operators.tallies import tally
@@ -29,16 +33,15 @@ def to_reports(
     Browser id and platform come from the agent dictionary by broadcast while that measures up to
     the limit; beyond it every row goes through the rules. The events are not shuffled for it.
     """
-    known = attach_browser_id(
+    known = attach_browser_id_to_groups(
         agents.select("user_agent", "type", "version", "platform"), browsers
     ).select(F.col("user_agent").alias("_agent"), "browser", "platform")
     if measured_bytes(agents) <= max_dictionary_bytes:
         marked = events.withColumn("_agent", F.coalesce("user_agent", F.lit("")))
         enriched = marked.join(F.broadcast(known), "_agent")
     else:
-        enriched = attach_browser_id(
-            apply_rules(events).select(*events.columns, "type", "version", "platform"), browsers
-        )
+        named = apply_rules(events).select(*events.columns, "type", "version", "platform")
+        enriched = attach_browser_id(named, browsers, max_dictionary_bytes)
     return decode_requests(enriched).select(
         "id",
         "file",

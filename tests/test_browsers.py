@@ -1,7 +1,7 @@
 from datetime import timedelta
 
 from builders import START, browsers, dicts
-from errorloom.operators.browsers import attach_browser_id, new_browsers, with_browser
+from errorloom.operators.browsers import attach_browser_id, name_browser, new_browsers
 
 
 def events(spark, *pairs, first=1):
@@ -40,15 +40,18 @@ def test_new_ids_never_meet_old_ones(spark):
 
 def test_duplicate_pairs_do_not_multiply_facts(spark):
     known = browsers(spark, (7, "Chrome", "26"), (3, "chrome", "26"), (9, "Opera", "1"))
-    rows = attach_browser_id(events(spark, ("Chrome", "26"), ("CHROME", "26")), known)
-    assert [(row.id, row.browser) for row in rows.orderBy("id").collect()] == [(1, 3), (2, 3)]
+    for bound in (0, 1_000_000):
+        rows = attach_browser_id(events(spark, ("Chrome", "26"), ("CHROME", "26")), known, bound)
+        assert [(row.id, row.browser) for row in rows.orderBy("id").collect()] == [(1, 3), (2, 3)]
 
 
 def test_missing_and_duplicate_ids(spark):
     known = browsers(spark, (1, "Chrome", "26"), (1, "Chrome", "27"))
     rows = spark.createDataFrame([(1,), (7,), (None,)], "browser bigint")
-    assert sorted((r.browser or 0, r.type, r.version) for r in with_browser(rows, known).collect()) == [
-        (0, "unknown", "unknown"),
-        (1, "Chrome", "26"),
-        (7, "unknown", "unknown"),
-    ]
+    for bound in (0, 1_000_000):
+        named = name_browser(rows, known, bound).collect()
+        assert sorted((row.browser or 0, row.type, row.version) for row in named) == [
+            (0, "unknown", "unknown"),
+            (1, "Chrome", "26"),
+            (7, "unknown", "unknown"),
+        ]

@@ -80,7 +80,7 @@ def test_lookup_without_broadcast_gives_the_same_feed(spark, stored):
     count = with_broadcast.select(F.bit_xor(F.xxhash64("id", "hash", "browser"))).first()[0]
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        merged = feed.open_reports(stored, fx.browsers(spark))
+        merged = feed.open_reports(stored, fx.browsers(spark), max_lookup_bytes=0)
         assert "SortMergeJoin" in plan(merged)
         assert merged.select(F.bit_xor(F.xxhash64("id", "hash", "browser"))).first()[0] == count
     finally:
