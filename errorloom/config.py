@@ -15,6 +15,7 @@ class Config:
     multi_ip: str = "first"
     screen_keywords: bool = False
     require_signature: bool = False
+    gather_days: bool = False
     # A user-agent dictionary up to this many bytes of text is broadcast; beyond it the rules
     # run on every row instead.
     max_dictionary_bytes: int = 64 * 1024 * 1024

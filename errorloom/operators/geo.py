@@ -1,36 +1,69 @@
-"""Locating addresses by a table of address ranges."""
+"""Locating addresses by a table of address ranges.
+
+Addresses and ranges meet in blocks of 65,536 neighbouring addresses. Within a block the ranges are
+first flattened into segments that do not overlap; then every distinct address takes the segment
+that starts last at or before it. Both steps sort: no address is compared with range after range,
+and a block never holds more than 65,536 segments and as many addresses.
+"""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from errorloom.operators.sizing import BROADCAST_BYTES, measured_lookup
 
-BLOCK_BITS = 16  # a block is 65,536 neighbouring addresses
+BLOCK_BITS = 16
+BLOCK_SIZE = 1 << BLOCK_BITS
 
 
 def _block(address):
     return F.shiftright(address, BLOCK_BITS)
 
 
-def _by_block(ranges):
-    """Ranges cut up at block borders."""
+def _pieces(ranges):
+    """Ranges cut up at block borders, as [lo, hi]."""
     blocks = F.sequence(_block(F.col("ip_start")), _block(F.col("ip_end")))
-    return ranges.where(F.col("ip_start") <= F.col("ip_end")).select(
-        F.explode(blocks).alias("block"), "ip_start", "ip_end", "location"
+    first = F.shiftleft(F.col("block"), BLOCK_BITS)
+    return (
+        ranges.where(F.col("ip_start") <= F.col("ip_end"))
+        .select("ip_start", "ip_end", "location", F.explode(blocks).alias("block"))
+        .withColumns(
+            {
+                "lo": F.greatest(F.col("ip_start"), first),
+                "hi": F.least(F.col("ip_end"), first + (BLOCK_SIZE - 1)),
+            }
+        )
     )
 
 
-def locate_ips(
-    df: DataFrame, ranges: DataFrame, ip_col: str = "ip", max_lookup_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """Adds ``location``, null where no range holds the address.
+def segments(ranges: DataFrame) -> DataFrame:
+    """The ranges without overlaps: block, lo, hi, location.
 
-    ``ranges`` (ip_start, ip_end, location) must not overlap; ``overlapping_ranges`` finds any that
-    do. Distinct addresses and ranges meet in blocks, sorted, where each address takes the range that
-    started last: no pairs are formed, and a block holds at most 65,536 of either.
+    Where ranges overlap, the one that starts last counts; of those, the shortest.
     """
-    return df.join(
-        measured_lookup(locations(df, ranges, ip_col), max_lookup_bytes), ip_col, "left"
+    pieces = _pieces(ranges)
+    in_order = Window.partitionBy("block").orderBy("at")
+    edges = (
+        pieces.select("block", F.explode(F.array(F.col("lo"), F.col("hi") + 1)).alias("at"))
+        .distinct()
+        .withColumns(
+            {"number": F.row_number().over(in_order), "hi": F.lead("at").over(in_order) - 1}
+        )
+    )
+    opens = edges.select("block", F.col("at").alias("lo"), F.col("number").alias("first"))
+    closes = edges.select("block", (F.col("at") - 1).alias("hi"), (F.col("number") - 1).alias("last"))
+    # A piece covers the segments between its edges: one, unless other ranges begin or end inside.
+    covered = (
+        pieces.join(opens, ["block", "lo"])
+        .join(closes, ["block", "hi"])
+        .select(
+            "block",
+            F.explode(F.sequence("first", "last")).alias("number"),
+            F.struct("ip_start", (-F.col("ip_end")).alias("_shortest"), "location").alias("range"),
+        )
+    )
+    counted = covered.groupBy("block", "number").agg(F.max("range").alias("range"))
+    return counted.join(edges, ["block", "number"]).select(
+        "block", F.col("at").alias("lo"), "hi", "range.location"
     )
 
 
@@ -44,14 +77,11 @@ def locations(df: DataFrame, ranges: DataFrame, ip_col: str = "ip") -> DataFrame
             _block(F.col("at")).alias("block"),
             "at",
             F.lit(1).alias("kind"),
-            F.lit(None).cast("struct<ip_end:bigint,location:string>").alias("range"),
+            F.lit(None).cast("struct<hi:bigint,location:string>").alias("found"),
         )
     )
-    starts = _by_block(ranges).select(
-        "block",
-        F.greatest(F.col("ip_start"), F.shiftleft(F.col("block"), BLOCK_BITS)).alias("at"),
-        F.lit(0).alias("kind"),
-        F.struct("ip_end", "location").alias("range"),
+    starts = segments(ranges).select(
+        "block", F.col("lo").alias("at"), F.lit(0).alias("kind"), F.struct("hi", "location").alias("found")
     )
     so_far = (
         Window.partitionBy("block")
@@ -60,23 +90,15 @@ def locations(df: DataFrame, ranges: DataFrame, ip_col: str = "ip") -> DataFrame
     )
     return (
         starts.unionByName(addresses)
-        .withColumn("range", F.last("range", ignorenulls=True).over(so_far))
-        .where((F.col("kind") == 1) & (F.col("at") <= F.col("range.ip_end")))
-        .select(F.col("at").alias(ip_col), "range.location")
+        .withColumn("found", F.last("found", ignorenulls=True).over(so_far))
+        .where((F.col("kind") == 1) & (F.col("at") <= F.col("found.hi")))
+        .select(F.col("at").alias(ip_col), "found.location")
     )
 
 
-def overlapping_ranges(ranges: DataFrame) -> DataFrame:
-    """Ranges that start before an earlier one has ended."""
-    earlier = (
-        Window.partitionBy("block")
-        .orderBy("ip_start", "ip_end")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        _by_block(ranges)
-        .withColumn("reach", F.max("ip_end").over(earlier))
-        .where(F.col("ip_start") <= F.col("reach"))
-        .select("ip_start", "ip_end", "location")
-        .distinct()
-    )
+def locate_ips(
+    df: DataFrame, ranges: DataFrame, ip_col: str = "ip", max_lookup_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Adds ``location``, null where no range (ip_start, ip_end, location) holds the address."""
+    found = measured_lookup(locations(df, ranges, ip_col), max_lookup_bytes)
+    return df.join(found, ip_col, "left")

@@ -75,7 +75,7 @@ def run_batch(raw: DataFrame, config: Config, batch_id: int = 0) -> None:
 
     browsers = read_table(spark, uri, "browsers", before_batch=batch_id + 1)
     reports = to_reports(events, agents, browsers, config.max_dictionary_bytes)
-    write_batch(reports, uri, "reports", batch_id)
-    write_batch(rejects(triaged), uri, "rejects", batch_id)
+    write_batch(reports, uri, "reports", batch_id, config.gather_days)
+    write_batch(rejects(triaged), uri, "rejects", batch_id, config.gather_days)
     # Counted from the columns just written, not from the raw requests again.
     write_batch(tally(read_table(spark, uri, "reports", batch=batch_id)), uri, "tallies", batch_id)

@@ -28,11 +28,20 @@ def location(uri: str, name: str) -> str:
     return f"{uri.rstrip('/')}/{name}"
 
 
-def write_batch(df: DataFrame, uri: str, name: str, batch_id: int) -> None:
+def write_batch(
+    df: DataFrame, uri: str, name: str, batch_id: int, gather_days: bool = False
+) -> None:
+    """Writes the batch's rows.
+
+    ``gather_days`` first brings the rows of a day together, for input in which every file holds many
+    days and would otherwise leave as many small files. A big day is spread over several tasks.
+    """
     columns = SCHEMAS[name].fieldNames()
     rows = df.select(*columns).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
     if name in BY_DAY:
         rows = rows.withColumn("day", F.to_date("date"))
+        if gather_days:
+            rows = rows.hint("rebalance", "day")
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -1,7 +1,7 @@
 import random
 
 from builders import reports
-from errorloom.operators.geo import locate_ips, overlapping_ranges
+from errorloom.operators.geo import locate_ips, segments
 
 
 def ranges(spark, *rows):
@@ -43,7 +43,28 @@ def test_every_report_stays(spark):
     assert out.where("location = 'x'").count() == 200
 
 
-def test_overlaps_are_found(spark):
-    table = ranges(spark, (1, 100, "a"), (50, 60, "b"), (101, 200, "c"), (65_000, 70_000, "d"), (66_000, 80_000, "e"))
-    assert {row.location for row in overlapping_ranges(table).collect()} == {"b", "e"}
-    assert overlapping_ranges(ranges(spark, (1, 2, "a"), (3, 9, "b"))).isEmpty()
+def test_overlapping_ranges_same_as_brute_force(spark):
+    rng = random.Random(11)
+    table = [(0, 4_294_967_295, "all"), (70_000, 70_000, "one"), (70_000, 70_000, "one")]
+    for number in range(300):
+        start = rng.randrange(200_000)
+        table.append((start, start + rng.choice((0, 3, 50, 5_000, 90_000)), f"r{number}"))
+    table.append((9, 8, "empty"))
+    addresses = [rng.randrange(300_000) for _ in range(1_500)] + [70_000, 4_294_967_295]
+
+    def best(ip):
+        holding = [(lo, -hi, loc) for lo, hi, loc in table if lo <= ip <= hi]
+        return max(holding)[2]
+
+    assert located(spark, addresses, ranges(spark, *table)) == {ip: best(ip) for ip in addresses}
+
+
+def test_segments_do_not_overlap(spark):
+    table = ranges(spark, (1, 100, "a"), (50, 60, "b"), (55, 200, "c"), (65_000, 70_000, "d"))
+    rows = sorted((row.lo, row.hi, row.location) for row in segments(table).collect())
+    assert all(before[1] < after[0] for before, after in zip(rows, rows[1:]))
+    # Between edges the location is constant; equal neighbours stay apart.
+    assert rows == [
+        (1, 49, "a"), (50, 54, "b"), (55, 60, "c"), (61, 100, "c"), (101, 200, "c"),
+        (65_000, 65_535, "d"), (65_536, 70_000, "d"),
+    ]

@@ -1,5 +1,6 @@
 import json
 from datetime import timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +66,18 @@ def test_dictionary_and_row_rules_agree(spark, requests, expected, tmp_path):
     assert batch_tables(spark, requests, str(tmp_path / "t"), max_dictionary_bytes=0) == expected[0]
 
 
+def test_gathering_days_leaves_fewer_files(spark, requests, expected, tmp_path):
+    scattered, gathered = str(tmp_path / "s"), str(tmp_path / "g")
+    mixed = requests.repartition(8, F.col("id"))
+    assert batch_tables(spark, mixed, scattered) == expected[0]
+    assert batch_tables(spark, mixed, gathered, gather_days=True) == expected[0]
+
+    def files(uri):
+        return len(list(Path(uri, "reports").rglob("*.parquet")))
+
+    assert files(gathered) < files(scattered)
+
+
 def test_a_batch_run_again_replaces_itself(spark, requests, tmp_path):
     uri = str(tmp_path / "t")
     halves = [requests.where("id % 2 = 0"), requests.where("id % 2 = 1")]
