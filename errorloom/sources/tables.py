@@ -17,7 +17,7 @@ SCHEMAS = {
     "rejects": schemas.REJECTS,
     "tallies": schemas.TALLIES,
 }
-BY_DAY = ("reports", "rejects")  # also partitioned by day, for pruning
+BY_DAY = ("reports",)  # also partitioned by day, for pruning
 
 
 def partition_columns(name: str) -> list:

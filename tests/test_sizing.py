@@ -1,0 +1,27 @@
+from pyspark.sql import functions as F
+
+from errorloom.config import shared_folder
+from errorloom.operators.sizing import broadcast_if_small, measured_bytes, measured_lookup
+
+
+def test_size_counts_nested_text_and_grows_with_rows(spark):
+    flat = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("t"))
+    nested = flat.select("id", F.struct("t").alias("s"))
+    assert 100_000 < measured_bytes(flat) < 120_000
+    assert 100_000 < measured_bytes(nested) < 120_000
+    assert measured_bytes(flat.where("false")) == 0
+    assert measured_bytes(flat.select("id", F.lit(None).cast("string").alias("t"))) >= 6_400
+
+
+def test_only_measured_tables_are_broadcast(spark):
+    facts = spark.range(1000)
+    lookup = spark.range(1000).withColumn("t", F.repeat(F.lit("x"), 100))
+    for bound, expected in ((10_000_000, True), (1_000, False)):
+        for table in (broadcast_if_small(lookup, bound), measured_lookup(lookup, bound)):
+            logical = facts.join(table, "id")._jdf.queryExecution().logical().toString()
+            assert ("strategy=broadcast" in logical) == expected
+
+
+def test_the_cluster_names_the_checkpoint_folder(spark):
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert spark.sparkContext.getCheckpointDir() is not None
