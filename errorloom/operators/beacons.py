@@ -76,7 +76,10 @@ def is_signed(query: Column) -> Column:
     )
     time = F.coalesce(request.parameter(query, "k"), F.lit(""))
     code = signing.signature(key, time)
-    return let(request.parameter(query, "cr"), lambda given: given.isNotNull() & (given != "0") & (given == code))
+    return let(
+        request.parameter(query, "cr"),
+        lambda given: given.isNotNull() & (given != "0") & (given == code),
+    )
 
 
 def verify_signed(raw: DataFrame) -> DataFrame:

@@ -31,7 +31,8 @@ def to_reports(
     """Accepted events as rows of ``reports``.
 
     Browser id and platform come from the agent dictionary by broadcast while that measures up to
-    the limit; beyond it every row goes through the rules. The events are not shuffled for it.
+    the limit; beyond it every row goes through the rules and looks up its pair. Events are shuffled
+    only if the browsers themselves outgrow the limit too.
     """
     known = attach_browser_id_to_groups(
         agents.select("user_agent", "type", "version", "platform"), browsers
@@ -58,9 +59,9 @@ def to_reports(
 def run_batch(raw: DataFrame, config: Config, batch_id: int = 0) -> None:
     """Writes the batch's new browsers, reports, rejects and tallies.
 
-    Batches are numbered from 0, each number once, and have one writer. Running a batch again, whole or after a failure half
-    way, gives the same tables: it reads only browsers of earlier batches and replaces its own
-    partitions.
+    Batches are numbered from 0, each number once, and have one writer. Running a batch again, whole
+    or after a failure half way, gives the same tables: it reads only browsers of earlier batches and
+    replaces its own partitions.
     """
     spark, uri = raw.sparkSession, config.write_uri
     triaged = triage(raw, config.multi_ip, config.screen_keywords, config.require_signature)

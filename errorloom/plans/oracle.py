@@ -159,6 +159,7 @@ untrusted as (
                 when 3 then concat({K}, '.5') end as n
     from events)"""
 
+# Each digit of a signed key and its mask.
 MASKED = "p || t || f"
 for _digit, _mask in (("1", "Dp"), ("2", "eF"), ("3", "jw"), ("4", "Kn"), ("5", "iq"), ("6", "oz")):
     MASKED = f"replace({MASKED}, '{_digit}', '{_mask}')"

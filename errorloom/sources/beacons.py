@@ -32,7 +32,8 @@ def from_kafka(records: DataFrame) -> DataFrame:
     """
     fields = ["query_string", "user_agent", "xff", "remote_addr", "received_at"]
     value = F.from_json(F.col("value").cast("string"), RAW_BEACONS)
-    offset_id = F.shiftleft(F.col("offset"), KAFKA_PARTITION_BITS).bitwiseOR(F.col("partition").cast("bigint"))
+    partition = F.col("partition").cast("bigint")
+    offset_id = F.shiftleft(F.col("offset"), KAFKA_PARTITION_BITS).bitwiseOR(partition)
     return records.select(offset_id.alias("id"), value.alias("request")).select(
         "id", *[F.col(f"request.{name}") for name in fields]
     ).select(*RAW_BEACONS.fieldNames())

@@ -37,9 +37,8 @@ def read_table(spark: SparkSession, db: Database, name: str, partitions: int = 3
     if lowest is not None:
         reader = reader.options(**range_options(int(lowest), int(highest), partitions))
     rows = reader.option("dbtable", name).load()
-    return rows.select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields if f.name in rows.columns]
-    )
+    fields = [field for field in SCHEMAS[name].fields if field.name in rows.columns]
+    return rows.select(*[F.col(field.name).cast(field.dataType) for field in fields])
 
 
 def append_table(df: DataFrame, db: Database, name: str, connections: int = 32) -> None:
