@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from errorloom.functions import useragent as ua
-from errorloom.operators.sizing import BROADCAST_BYTES, cut_lineage, measured_bytes
+from errorloom.operators.lookups import BROADCAST_BYTES, cut_lineage, measured_bytes
 
 OUTPUTS = (
     "type",

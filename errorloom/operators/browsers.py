@@ -1,14 +1,13 @@
 """The (type, version) dimension: get-or-create, and the lookups against it.
 
-The dimension is small by nature, but its versions come from outside. A lookup for every report
-therefore measures it first and broadcasts it only within a bound; a lookup for groups, which are
-few, leaves the choice to Spark.
+The dimension is small by nature, but its versions come from outside, so lookups measure it first
+and broadcast it only within a bound.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from errorloom.operators.sizing import BROADCAST_BYTES, broadcast_if_small
+from errorloom.operators.lookups import BROADCAST_BYTES, join_lookup
 
 UNKNOWN = "unknown"
 KEYS = ("type_key", "version_key")
@@ -61,42 +60,34 @@ def names_by_id(browsers: DataFrame) -> DataFrame:
     )
 
 
-def _attach(rows, ids):
-    return _with_keys(rows).join(ids, list(KEYS)).drop(*KEYS, "type", "version")
-
-
-def _name(rows, names):
-    return (
-        rows.join(names, "browser", "left")
-        .withColumns(
-            {
-                "type": F.coalesce(F.col("named.type"), F.lit(UNKNOWN)),
-                "version": F.coalesce(F.col("named.version"), F.lit(UNKNOWN)),
-            }
-        )
-        .drop("named")
-    )
+def _or_unknown(rows):
+    return rows.withColumns(
+        {
+            "type": F.coalesce(F.col("named.type"), F.lit(UNKNOWN)),
+            "version": F.coalesce(F.col("named.version"), F.lit(UNKNOWN)),
+        }
+    ).drop("named")
 
 
 def attach_browser_id(
     events: DataFrame, browsers: DataFrame, max_lookup_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Replaces ``type`` and ``version`` of every event with ``browser``, the pair's smallest id."""
-    return _attach(events, broadcast_if_small(ids_by_pair(browsers), max_lookup_bytes))
-
-
-def attach_browser_id_to_groups(groups: DataFrame, browsers: DataFrame) -> DataFrame:
-    """The same for a few rows."""
-    return _attach(groups, ids_by_pair(browsers))
+    joined = join_lookup(
+        _with_keys(events), ids_by_pair(browsers), list(KEYS), "inner", max_lookup_bytes
+    )
+    return joined.drop(*KEYS, "type", "version")
 
 
 def name_browser(
     reports: DataFrame, browsers: DataFrame, max_lookup_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Adds ``type`` and ``version`` to every report; "unknown" where the dimension has no row."""
-    return _name(reports, broadcast_if_small(names_by_id(browsers), max_lookup_bytes))
+    return _or_unknown(
+        join_lookup(reports, names_by_id(browsers), ["browser"], "left", max_lookup_bytes)
+    )
 
 
-def name_browser_of_groups(groups: DataFrame, browsers: DataFrame) -> DataFrame:
-    """The same for a few rows."""
-    return _name(groups, names_by_id(browsers))
+def name_browser_ids(ids: DataFrame, browsers: DataFrame) -> DataFrame:
+    """The same for rows of which each browser id has one: no key is hot, so Spark may choose."""
+    return _or_unknown(ids.join(names_by_id(browsers), "browser", "left"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from errorloom.functions import net, text
 from errorloom.operators.browsers import name_browser
-from errorloom.operators.sizing import BROADCAST_BYTES
+from errorloom.operators.lookups import BROADCAST_BYTES
 
 OPEN = 0
 

@@ -9,7 +9,7 @@ and a block never holds more than 65,536 segments and as many addresses.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from errorloom.operators.sizing import BROADCAST_BYTES, measured_lookup
+from errorloom.operators.lookups import BROADCAST_BYTES, join_lookup
 
 BLOCK_BITS = 16
 BLOCK_SIZE = 1 << BLOCK_BITS
@@ -100,5 +100,5 @@ def locate_ips(
     df: DataFrame, ranges: DataFrame, ip_col: str = "ip", max_lookup_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Adds ``location``, null where no range (ip_start, ip_end, location) holds the address."""
-    found = measured_lookup(locations(df, ranges, ip_col), max_lookup_bytes)
-    return df.join(found, ip_col, "left")
+    found = locations(df, ranges, ip_col)
+    return join_lookup(df, found, [ip_col], "left", max_lookup_bytes, costly=True)

@@ -4,9 +4,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from errorloom.functions import net, text
-from errorloom.operators.browsers import name_browser_of_groups
+from errorloom.operators.browsers import name_browser
 from errorloom.operators.feed import only_open
-from errorloom.operators.sizing import BROADCAST_BYTES, measured_lookup
+from errorloom.operators.lookups import BROADCAST_BYTES, join_lookup
 from errorloom.operators.tallies import regroup, tally
 
 RESOLVED = 1
@@ -20,18 +20,15 @@ def resolve(reports: DataFrame, hashes: DataFrame, max_lookup_bytes: int = BROAD
     """The reports, those with a listed fingerprint marked as fixed."""
     listed = hashes.select("hash", F.lit(True).alias("_hit")).distinct()
     status = F.when(F.col("_hit"), F.lit(RESOLVED)).otherwise(F.col("status"))
-    return (
-        _marked(reports)
-        .join(measured_lookup(listed, max_lookup_bytes), "hash", "left")
-        .withColumn("status", status)
-        .select(*reports.columns)
-    )
+    joined = join_lookup(_marked(reports), listed, ["hash"], "left", max_lookup_bytes, costly=True)
+    return joined.withColumn("status", status).select(*reports.columns)
 
 
 def delete(reports: DataFrame, hashes: DataFrame, max_lookup_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The reports without those that have a listed fingerprint."""
-    listed = measured_lookup(hashes.select("hash").distinct(), max_lookup_bytes)
-    return _marked(reports).join(listed, "hash", "left_anti").select(*reports.columns)
+    listed = hashes.select("hash").distinct()
+    kept = join_lookup(_marked(reports), listed, ["hash"], "left_anti", max_lookup_bytes, costly=True)
+    return kept.select(*reports.columns)
 
 
 def message_browsers(tallies: DataFrame) -> DataFrame:
@@ -75,7 +72,7 @@ def affected(
         clients = tally(rows, "ip")
     else:
         # Counted per browser id first, so the lookup sees counts and not reports.
-        per_browser = name_browser_of_groups(tally(rows, "ip", "browser"), browsers)
+        per_browser = name_browser(tally(rows, "ip", "browser"), browsers)
         clients = regroup(per_browser.where(F.col("type") == browser), "ip")
     return clients.select(
         net.long_to_dotted(F.col("ip")).alias("ip"), "times", "first_report", "last_report"

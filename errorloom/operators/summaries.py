@@ -4,9 +4,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from errorloom.functions import text, times
-from errorloom.operators.browsers import name_browser, name_browser_of_groups
+from errorloom.operators.browsers import name_browser, name_browser_ids
 from errorloom.operators.feed import only_open
-from errorloom.operators.sizing import BROADCAST_BYTES, measured_lookup
+from errorloom.operators.lookups import BROADCAST_BYTES, join_lookup
 from errorloom.operators.tallies import regroup, tally
 
 
@@ -29,13 +29,18 @@ def message_groups(tallies: DataFrame) -> DataFrame:
     )
 
 
-def message_summary(tallies: DataFrame, browsers: DataFrame, danger_at: int = 3) -> DataFrame:
+def message_summary(
+    tallies: DataFrame,
+    browsers: DataFrame,
+    danger_at: int = 3,
+    max_lookup_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
     """One row per fingerprint: its latest report, how often, how bad, since when.
 
     Takes tallies by all keys. The browser is looked up for the groups, not for the reports.
     """
     groups = message_groups(tallies).select("*", "last.*").drop("last", "last_id")
-    return _with_hours(name_browser_of_groups(groups, browsers)).select(
+    return _with_hours(name_browser(groups, browsers, max_lookup_bytes)).select(
         "hash",
         "message",
         "file",
@@ -71,7 +76,7 @@ def with_age(summary: DataFrame, as_of) -> DataFrame:
 
 def browser_versions(tallies: DataFrame, browsers: DataFrame, type: str | None = None) -> DataFrame:
     """Reports per (type, version), of one type if given. Takes tallies by at least ``browser``."""
-    named = name_browser_of_groups(regroup(tallies, "browser"), browsers)
+    named = name_browser_ids(regroup(tallies, "browser"), browsers)
     if type is not None:
         named = named.where(F.col("type") == type)
     return regroup(named, "type", "version").drop("last_id")
@@ -98,7 +103,7 @@ def browser_summary_since_newest_version(
 
     Two passes over id, browser and date of the open reports: one for the cuts, one for the times.
     """
-    per_browser = name_browser_of_groups(tally(reports, "browser"), browsers)
+    per_browser = name_browser_ids(tally(reports, "browser"), browsers)
     cuts = (
         regroup(per_browser, "type", "version")
         .groupBy("type")
@@ -110,14 +115,11 @@ def browser_summary_since_newest_version(
         )
     )
     # One row per browser id that occurs.
-    lookup = measured_lookup(
-        per_browser.select("browser", "type").join(cuts, "type"), max_lookup_bytes
-    )
+    lookup = per_browser.select("browser", "type").join(cuts, "type")
+    rows = only_open(reports).select("id", "browser", "date")
     # Every type keeps at least the report that made the cut.
     return (
-        only_open(reports)
-        .select("id", "browser", "date")
-        .join(lookup, "browser")
+        join_lookup(rows, lookup, ["browser"], "inner", max_lookup_bytes, costly=True)
         .where(F.col("id") >= F.col("cut"))
         .groupBy("type", "times", "versions", "first_id")
         .agg(F.min("date").alias("first_report"), F.max("date").alias("last_report"))

@@ -6,13 +6,9 @@ from pyspark.sql import functions as F
 from errorloom.config import Config
 from errorloom.operators.agents import apply_rules
 from errorloom.operators.beacons import accepted, decode_requests, rejects, triage
-from errorloom.operators.browsers import (
-    attach_browser_id,
-    attach_browser_id_to_groups,
-    new_browsers,
-)
+from errorloom.operators.browsers import attach_browser_id, new_browsers
 from errorloom.operators.feed import OPEN
-from errorloom.operators.sizing import cut_lineage, measured_bytes
+from errorloom.operators.lookups import cut_lineage, measured_bytes
 from errorloom.operators.tallies import tally
 from errorloom.sources.tables import read_table, write_batch
 
@@ -34,10 +30,9 @@ def to_reports(
     the limit; beyond it every row goes through the rules and looks up its pair. Events are shuffled
     only if the browsers themselves outgrow the limit too.
     """
-    known = attach_browser_id_to_groups(
-        agents.select("user_agent", "type", "version", "platform"), browsers
-    ).select(F.col("user_agent").alias("_agent"), "browser", "platform")
     if measured_bytes(agents) <= max_dictionary_bytes:
+        pairs = agents.select(F.col("user_agent").alias("_agent"), "type", "version", "platform")
+        known = attach_browser_id(pairs, browsers, max_dictionary_bytes)
         marked = events.withColumn("_agent", F.coalesce("user_agent", F.lit("")))
         enriched = marked.join(F.broadcast(known), "_agent")
     else:

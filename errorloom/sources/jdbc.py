@@ -38,7 +38,7 @@ def read_table(spark: SparkSession, db: Database, name: str, partitions: int = 3
         reader = reader.options(**range_options(int(lowest), int(highest), partitions))
     rows = reader.option("dbtable", name).load()
     fields = [field for field in SCHEMAS[name].fields if field.name in rows.columns]
-    return rows.select(*[F.col(field.name).cast(field.dataType) for field in fields])
+    return rows.select(*[F.col(field.name).cast(field.dataType).alias(field.name) for field in fields])
 
 
 def append_table(df: DataFrame, db: Database, name: str, connections: int = 32) -> None:

@@ -115,3 +115,4 @@ def test_hot_browser_and_hot_address_survive_sort_merge_joins(spark):
     small = summaries.browser_summary_since_newest_version(rows, known)
     merged = summaries.browser_summary_since_newest_version(rows, known, max_lookup_bytes=0)
     assert sorted(map(str, small.collect())) == sorted(map(str, merged.collect()))
+
