@@ -6,7 +6,8 @@ the compared bytes alone, never on a digest. Digits widen eightfold from round t
 20 MB takes seven rounds, and only members of groups that are still open travel on.
 
 A digit is counted with partial sums before the shuffle. Members then join the counts, which are a
-stored table, so that adaptive execution can split a group that holds a large share of all rows.
+stored table, by sort and merge at every size: adaptive execution can split a group that holds a large
+share of all rows, and the counts, which grow with the corpus, are never broadcast.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -52,7 +53,7 @@ def exact_groups(
         single = F.col("next").isNull()
         ended = single | (F.length("digit") < width)
         split = stored(
-            members.join(groups, ["group", "digit"], "left").select(
+            members.join(groups.hint("merge"), ["group", "digit"], "left").select(
                 "row",
                 "id",
                 F.when(~ended, F.col("bytes")).alias("bytes"),
