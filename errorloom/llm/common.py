@@ -5,6 +5,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +50,31 @@ def ship(spark) -> None:
             files.write(source, source.relative_to(root.parent))
     context.addPyFile(str(archive))
     context._errorloom_shipped = True
+
+
+BITS = 23
+
+
+def maybe_in(ids: DataFrame, column: str):
+    """A test for values that are surely not in a column of ids, for skipping rows before a shuffle.
+
+    Ids are hashed into a bitmap of 2^23 bits (1 MB, whatever their number), made on the executors. The
+    test is never false for a value that occurs; with many ids it is true more often, which costs time only.
+    """
+    place = F.pmod(F.xxhash64(column), F.lit(1 << BITS))
+    parts = (
+        ids.select(place.alias("at"))
+        .groupBy(F.floor(F.col("at") / 32768).alias("part"))
+        .agg(F.expr("bitmap_construct_agg(at % 32768)").alias("bits"))
+        .collect()
+    )
+    bitmap = np.zeros(1 << BITS >> 3, dtype=np.uint8)
+    for row in parts:
+        bitmap[row["part"] * 4096 : (row["part"] + 1) * 4096] = np.frombuffer(row["bits"], dtype=np.uint8)
+
+    @F.pandas_udf("boolean")
+    def test(places: pd.Series) -> pd.Series:
+        at = places.to_numpy(np.int64)
+        return pd.Series(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+    return lambda value: test(F.pmod(F.xxhash64(value), F.lit(1 << BITS)))

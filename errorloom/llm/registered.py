@@ -4,7 +4,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from errorloom.llm import chat, exact_dedup, mixing, packing, quality, topk, toxicity
+from errorloom.llm import chat, exact_dedup, jaccard, mixing, packing, quality, topk, toxicity
 from errorloom.llm.common import read, remainder, ship, stored
 
 QUERIES, ORACLE = {}, {}
@@ -116,3 +116,8 @@ def op9(spark, sf_dir):
     sized = docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
     mixed = mixing.mix(sized, F.col("size"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@registered("op5_ngram_jaccard")
+def op5(spark, sf_dir):
+    return jaccard.groups(read(spark, sf_dir, "documents"))

@@ -98,3 +98,14 @@ def _bounds(part: np.ndarray, text_starts: np.ndarray, separators: np.ndarray):
     after[text_starts] = True
     ends = np.flatnonzero(inside & after[1:]) + 1
     return starts, ends
+
+
+def chunks(texts: pa.Array, most: int, places: bool = False):
+    """Slices of a column with about ``most`` bytes each, or one text; with ``places``, where each begins."""
+    _, offsets = buffers(texts)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
+        part = texts.slice(first, last - first)
+        yield (first, part) if places else part
+        first = last
