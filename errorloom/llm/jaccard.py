@@ -33,15 +33,19 @@ WORDS = 5
 SIMILAR = (3, 4)  # at least 3/4
 FREQUENT_IN_BATCH = 8
 FREQUENT = 1 << 20  # shingles kept in order of frequency: at most 8 MB
+FILTER = 1 << 24
 SALTS = 64
 BLOCK = 4096
+HASH_BITS = 50
+CHUNK = 4 << 20
 LEAVES = 8
 
 
 def shingle_sets(texts: pa.Array, size: int = WORDS):
     """The sorted distinct shingle hashes of each text, and where each text's begin, with the end last.
 
-    Texts with fewer words than a shingle have the whole sequence as one, texts without words have none.
+    Texts with fewer words than a shingle have the whole sequence as one, texts without words have none. At
+    most 16,383 texts at a time.
     """
     hashes, bounds = words(texts)
     count = np.diff(bounds)
@@ -56,12 +60,13 @@ def shingle_sets(texts: pa.Array, size: int = WORDS):
         for k in range(size):
             part = np.where(left[starts] > k, padded[starts + k], np.uint64(0))
             rolled = mix64(rolled * np.uint64(0x9E3779B97F4A7C15) + part + np.uint64(k + 1))
-    doc = doc[starts]
-    order = np.lexsort((rolled, doc))
-    doc, rolled = doc[order], rolled[order]
-    first = np.ones(len(doc), dtype=bool)
-    first[1:] = (doc[1:] != doc[:-1]) | (rolled[1:] != rolled[:-1])
-    return rolled[first], np.searchsorted(doc[first], np.arange(len(texts) + 1))
+    # Text and hash in one number: sorting it sorts the hashes of each text.
+    keys = np.sort((doc[starts].astype(np.uint64) << np.uint64(HASH_BITS)) | (rolled >> np.uint64(64 - HASH_BITS)))
+    first = np.ones(len(keys), dtype=bool)
+    first[1:] = keys[1:] != keys[:-1]
+    keys = keys[first]
+    ends = np.searchsorted(keys, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(HASH_BITS))
+    return keys & np.uint64((1 << HASH_BITS) - 1), ends
 
 
 def set_names(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -73,9 +78,9 @@ def set_names(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def signature(values: np.ndarray) -> bytes:
-    """A bitmap of the set, its width the power of two from twice the size on."""
+    """A bitmap of the set, its width the power of two from the size on."""
     width = 64
-    while width < 2 * len(values):
+    while width < len(values):
         width *= 2
     bits = np.zeros(width, dtype=np.uint8)
     bits[(values % np.uint64(width)).astype(np.int64)] = 1
@@ -93,14 +98,19 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
     def counted(batches):
         for batch in batches:
-            for texts in chunks(batch.column(0), 1 << 26):
+            seen, found = set(), []
+            for texts in chunks(batch.column(0), CHUNK):
                 values, bounds = shingle_sets(texts)
-                _, once = np.unique(set_names(values, bounds)[:, 0], return_index=True)
-                keep = np.zeros(len(texts), dtype=bool)
-                keep[once] = True
-                found, n = np.unique(values[np.repeat(keep, np.diff(bounds))], return_counts=True)
-                often = n >= FREQUENT_IN_BATCH
-                yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often])], ["shingle", "n"])
+                names = set_names(values, bounds)[:, 0].tolist()
+                keep = np.array([not (name in seen or seen.add(name)) for name in names], dtype=bool)
+                found.append(values[np.repeat(keep, np.diff(bounds))])
+            found = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+            starts = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else np.zeros(0, np.int64)
+            n = np.diff(np.append(starts, len(found)))
+            often = n >= FREQUENT_IN_BATCH
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found[starts[often]].view(np.int64)), pa.array(n[often])], ["shingle", "n"]
+            )
 
     rows = docs.select("text").mapInArrow(counted, "shingle bigint, n bigint")
     top = rows.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT)
@@ -111,15 +121,19 @@ def _sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """Per document its set: name, size, signature, and the prefix apart by whether shingles are frequent."""
 
     def made(batches):
+        mask = np.uint64(FILTER - 1)
+        maybe = np.zeros(FILTER, dtype=bool)
+        maybe[(frequent & mask).astype(np.int64)] = True
         for batch in batches:
             at = 0
-            for texts in chunks(batch.column(1), 1 << 24):
+            for texts in chunks(batch.column(1), CHUNK):
                 values, bounds = shingle_sets(texts)
                 names, n = set_names(values, bounds), np.diff(bounds)
-                places = np.searchsorted(frequent, values)
-                often = np.zeros(len(values), dtype=bool)
-                if len(frequent):
-                    often = frequent[np.minimum(places, len(frequent) - 1)] == values
+                often = maybe[(values & mask).astype(np.int64)]
+                hits = np.flatnonzero(often)
+                if len(hits):
+                    places = np.minimum(np.searchsorted(frequent, values[hits]), len(frequent) - 1)
+                    often[hits] = frequent[places] == values[hits]
                 rare, common, signatures = [], [], []
                 for a, b in zip(bounds[:-1], bounds[1:]):
                     own, mark = values[a:b], often[a:b]
@@ -193,6 +207,15 @@ def may_link(a: Tree, b: Tree) -> bool:
     return (x & y).bit_count() + extra >= least_overlap(a.least, b.least)
 
 
+def _leaves_may_link(n: int, bits: bytes, m: int, others: bytes) -> bool:
+    """``may_link`` for two sets, by the shingles of each that surely miss the other."""
+    width = 8 * min(len(bits), len(others))
+    x = fold(int.from_bytes(bits, "little"), 8 * len(bits), width)
+    y = fold(int.from_bytes(others, "little"), 8 * len(others), width)
+    shared = (x & y).bit_count()
+    return min(n - x.bit_count() + shared, m - y.bit_count() + shared) >= least_overlap(n, m)
+
+
 def traverse(a: Tree, b: Tree, found: list) -> None:
     """Pairs of leaves below two nodes that can be similar."""
     stack = [(a, b)]
@@ -249,10 +272,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 
     def packed(batches):
         for batch in batches:
-            for at, texts in chunks(batch.column(1), 1 << 24, places=True):
+            for at, texts in chunks(batch.column(1), CHUNK, places=True):
                 values, bounds = shingle_sets(texts)
-                # Forty bits of each shingle: too few for a set of any size to meet another's by chance.
-                five = np.ascontiguousarray((values >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+                # Forty bits of each shingle: enough to tell the shingles of two sets apart.
+                five = np.ascontiguousarray((values >> np.uint64(HASH_BITS - 40)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
                 five = [five[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(texts)), pa.array(set_names(values, bounds)[:, 0]), pa.array(five, pa.binary())],
@@ -260,7 +283,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
                 )
 
     found = docs.where(asked("doc_id")).select("doc_id", "text").mapInArrow(packed, "doc_id bigint, node bigint, shingles binary")
-    texts = stored(found.join(needed, ["doc_id", "node"], "left_semi").select("node", "shingles").dropDuplicates(["node"]), "sets")
+    texts = stored(found.select("node", "shingles"), "sets")
 
     @F.pandas_udf("boolean")
     def alike(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -268,7 +291,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 
     a = texts.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     b = texts.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    return stored(pairs.join(a, "a").join(b, "b").where(alike("left", "right")).select("a", "b"), "links")
+    compared = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(alike("left", "right"))
+    return stored(compared.select("a", "b").distinct(), "links")
 
 
 def _alike(left: bytes, right: bytes) -> bool:
@@ -284,15 +308,13 @@ def _near(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def possible(n: pd.Series, bits: pd.Series, m: pd.Series, others: pd.Series) -> pd.Series:
-        def tree(size, mask):
-            return Tree([(0, size, int.from_bytes(mask, "little"), len(mask) * 8)])
-
-        return pd.Series([may_link(tree(*x), tree(*y)) for x, y in zip(zip(n, bits), zip(m, others))], dtype=bool)
+        rows = zip(n.tolist(), bits, m.tolist(), others)
+        return pd.Series([_leaves_may_link(*row) for row in rows], dtype=bool)
 
     a = signed.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
     b = signed.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
     size = (F.col("nb") * 4 >= F.col("na") * 3) & (F.col("na") * 4 >= F.col("nb") * 3)
-    return pairs.join(a, "a").join(b, "b").where(size).where(possible("na", "sa", "nb", "sb")).select("a", "b")
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(size).where(possible("na", "sa", "nb", "sb")).select("a", "b")
 
 
 def _across(blocks: DataFrame, groups: DataFrame, signed: DataFrame) -> DataFrame:
@@ -303,9 +325,15 @@ def _across(blocks: DataFrame, groups: DataFrame, signed: DataFrame) -> DataFram
         .withColumn("group", F.coalesce("group", "node"))
     )
     grouped = stored(grouped, "grouped")
-    mixed = grouped.groupBy("shingle").agg(
-        F.min("group").alias("least"), F.max("group").alias("most"), F.count(F.lit(1)).alias("sets")
-    ).where("least <> most").select("shingle", F.ceil(F.col("sets") / BLOCK).cast("int").alias("parts"))
+    # A passage that the same sets share gives as many equal blocks as it has shingles: one of them is enough.
+    members = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"members{i}") for i in (1, 2)]
+    mixed = (
+        grouped.groupBy("shingle")
+        .agg(F.min("group").alias("least"), F.max("group").alias("most"), F.count(F.lit(1)).alias("sets"), *members)
+        .where("least <> most")
+        .groupBy("least", "most", "sets", "members1", "members2").agg(F.min("shingle").alias("shingle"))
+        .select("shingle", F.ceil(F.col("sets") / BLOCK).cast("int").alias("parts"))
+    )
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1),
                                  lambda x: F.struct(F.least(x, F.col("part")).alias("i"), F.greatest(x, F.col("part")).alias("j"))))
