@@ -4,7 +4,8 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from errorloom.llm import chat, exact_dedup, jaccard, mixing, packing, quality, topk, toxicity
+import corpus_pipeline
+from errorloom.llm import chat, exact_dedup, jaccard, mixing, packing, passages, quality, topk, toxicity
 from errorloom.llm.common import read, remainder, ship, stored
 
 QUERIES, ORACLE = {}, {}
@@ -121,3 +122,13 @@ def op9(spark, sf_dir):
 @registered("op5_ngram_jaccard")
 def op5(spark, sf_dir):
     return jaccard.groups(read(spark, sf_dir, "documents"))
+
+
+@registered("op10_repeated_passages")
+def op10(spark, sf_dir):
+    return passages.repeated(read(spark, sf_dir, "documents"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
