@@ -5,7 +5,7 @@ from functools import wraps
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from errorloom.llm import chat, exact_dedup, jaccard, mixing, packing, passages, quality, topk, toxicity
+from errorloom.llm import chat, exact_dedup, jaccard, mixing, packing, passages, quality, secrets, topk, toxicity
 from errorloom.llm.common import read, remainder, ship, stored
 
 QUERIES, ORACLE = {}, {}
@@ -73,6 +73,11 @@ def op3(spark, sf_dir):
     return quality.score(docs, model).select("doc_id", held_out, "score", "predicted")
 
 
+@registered("op4_secret_scan")
+def op4(spark, sf_dir):
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
 @registered("op6_toxicity")
 def op6(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
