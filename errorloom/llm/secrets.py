@@ -16,6 +16,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from errorloom.llm.common import stored
+
 SHORTEST = 12
 SAMPLE = 20_000
 SEED = 5
@@ -148,6 +150,6 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_column: str = "d
 
     Without reviewed ``findings`` those of ``labelled`` teach. An empty table gives an empty result.
     """
-    rows = candidates(docs, id_column, text_column)
+    rows = stored(candidates(docs, id_column, text_column), "candidates")
     scored = train(labelled(rows) if findings is None else findings)(rows)
     return scored.select("doc_id", "place", "word", "run", "probability", (F.col("probability") >= 0.5).alias("secret"))
