@@ -10,6 +10,8 @@ stored table, by sort and merge at every size: adaptive execution can split a gr
 share of all rows, and the counts, which grow with the corpus, are never broadcast.
 """
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,30 +21,25 @@ FIRST_DIGIT = 64
 WIDENING = 8
 
 
-def exact_groups(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", whole_rows: bool = True
-) -> DataFrame:
-    """Every row with the group of rows whose text is identical.
+ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 
-    Adds ``keep_id`` (greatest id of the group), ``group_size``, ``kept`` and ``text_sha256``. Without
-    ``whole_rows`` only the id comes along. A null text counts as empty. Null ids rank below all
-    others, and ``keep_id`` is null if the group has no other. Where several rows of a group carry
-    the greatest id, one of them is kept. An empty table gives an empty result. Names of other columns
-    are free, as rows travel in a struct; a column named like an added one is replaced.
-    """
-    added = ("keep_id", "group_size", "kept", "text_sha256")
-    names = [c for c in docs.columns if c not in added] if whole_rows else [id_column]
-    text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).cast("binary")
+
+def _grouped(docs: DataFrame, id_column: str, text_column: str, whole_rows: bool) -> DataFrame:
+    """``row`` (a struct of the columns, or of the id alone) and the columns of ``ADDED``."""
+    names = docs.columns if whole_rows else [id_column]
+    # Whole rows hold their text; else it travels beside the id as long as the group is open.
+    rest = F.col(f"`{text_column}`").cast("string")
+    text = F.coalesce(F.col(f"row.`{text_column}`").cast("string") if whole_rows else F.col("text"), F.lit("")).cast("binary")
     active = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
         F.col(f"`{id_column}`").alias("id"),
-        text.alias("bytes"),
-        F.sha2(text, 256).alias("text_sha256"),
+        (F.lit(None).cast("string") if whole_rows else rest).alias("text"),
+        F.sha2(F.coalesce(rest, F.lit("")).cast("binary"), 256).alias("text_sha256"),
         F.lit(0).cast("bigint").alias("group"),
     )
     finished, done, width = [], 0, FIRST_DIGIT
     while True:
-        members = active.withColumn("digit", F.substring("bytes", done + 1, width))
+        members = active.withColumn("digit", F.substring(text, done + 1, width))
         groups = stored(
             members.groupBy("group", "digit")
             .agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep_id"))
@@ -56,7 +53,7 @@ def exact_groups(
             members.join(groups.hint("merge"), ["group", "digit"], "left").select(
                 "row",
                 "id",
-                F.when(~ended, F.col("bytes")).alias("bytes"),
+                F.when(~ended, F.col("text")).alias("text"),
                 "text_sha256",
                 F.col("next").alias("group"),
                 F.when(single, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -65,28 +62,37 @@ def exact_groups(
             ),
             "members",
         )
-        finished.append(split.where("ended").drop("bytes", "ended"))
-        active = split.where("not ended").select("row", "id", "bytes", "text_sha256", "group")
+        finished.append(split.where("ended").drop("text", "ended"))
+        active = split.where("not ended").select("row", "id", "text", "text_sha256", "group")
         if active.isEmpty():
             break
         done, width = done + width, width * WIDENING
 
-    results = []
+    # Only rows that carry their group's greatest id can stay: one per group, or equals.
+    may_stay = (F.col("group_size") > 1) & F.col("id").eqNullSafe(F.col("keep_id"))
+    first = F.row_number().over(Window.partitionBy("group").orderBy("text_sha256")) == 1
+    parts = []
     for level in finished:
-        # Only rows that carry their group's greatest id can stay: one per group, or equals.
-        may_stay = (F.col("group_size") > 1) & F.col("id").eqNullSafe(F.col("keep_id"))
-        first = F.row_number().over(Window.partitionBy("group").orderBy("text_sha256")) == 1
-        results.append(level.where(~may_stay).withColumn("kept", F.col("group_size") == 1))
-        results.append(level.where(may_stay).withColumn("kept", first))
-    whole = results[0]
-    for part in results[1:]:
-        whole = whole.unionByName(part)
-    return whole.select(*[F.col(f"row.`{c}`") for c in names], *added)
+        parts.append(level.where(~may_stay).withColumn("kept", F.col("group_size") == 1))
+        parts.append(level.where(may_stay).withColumn("kept", first))
+    return functools.reduce(DataFrame.unionByName, parts).select("row", *ADDED)
+
+
+def exact_groups(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", whole_rows: bool = True
+) -> DataFrame:
+    """Every row with the group of rows whose text is identical.
+
+    Adds ``keep_id`` (greatest id of the group), ``group_size``, ``kept`` and ``text_sha256``. Without
+    ``whole_rows`` only the id comes along. A null text counts as empty. Null ids rank below all
+    others, and ``keep_id`` is null if the group has no other. Where several rows of a group carry
+    the greatest id, one of them is kept. An empty table gives an empty result. Names of other columns
+    are free, as rows travel in a struct; a column named like an added one is replaced.
+    """
+    names = [c for c in docs.columns if c not in ADDED] if whole_rows else [id_column]
+    return _grouped(docs, id_column, text_column, whole_rows).select(*[F.col(f"row.`{c}`") for c in names], *ADDED)
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    groups = exact_groups(docs.select(F.struct(*docs.columns).alias("_doc"),
-                                      F.col(f"`{id_column}`").alias("_id"),
-                                      F.col(f"`{text_column}`").alias("_text")), "_id", "_text")
-    return groups.where("kept").select("_doc.*")
+    return _grouped(docs, id_column, text_column, True).where("kept").select("row.*")

@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from errorloom.llm.toxicity import training_rows
-from errorloom.llm.wordscan import STRETCH, buffers, mix64, words
+from errorloom.llm.wordscan import STRETCH, buffers, chunks, mix64, words
 
 SAMPLE = 12_000
+CHUNK = 4 << 20  # bytes of text looked at together
 BINS, PAIR_BINS = 48, 12
 ROUNDS, PAIR_ROUNDS, PAIRS = 80, 40, 6
 RATE, SHRINK, LEAST = 0.2, 5.0, 20
@@ -238,7 +239,8 @@ def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(features(pa.Array.from_pandas(texts, type=pa.large_string()))))
+        column = pa.Array.from_pandas(texts, type=pa.large_string())
+        return pd.Series(np.concatenate([np.zeros(0), *(model.scores(features(part)) for part in chunks(column, CHUNK))]))
 
     return docs.withColumn("score", scored(F.col(f"`{text_column}`").cast("string"))).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int")

@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from errorloom.llm.wordscan import MARKS, words
+from errorloom.llm.wordscan import MARKS, chunks, words
 
 BINS = 1 << 18
 BEGINNINGS = (4, 5)
 SAMPLE = 12_000
+CHUNK = 4 << 20  # bytes of text looked at together
 TERMS = 1024
 LEAST_DOCUMENTS = 3
 FACTORS = 8
@@ -150,7 +151,8 @@ def score(docs: DataFrame, machine: Machine, text_column: str = "text") -> DataF
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(machine.scores(pa.Array.from_pandas(texts, type=pa.large_string())))
+        column = pa.Array.from_pandas(texts, type=pa.large_string())
+        return pd.Series(np.concatenate([np.zeros(0), *(machine.scores(part) for part in chunks(column, CHUNK))]))
 
     return docs.withColumn("score", scored(F.col(f"`{text_column}`").cast("string"))).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int")
