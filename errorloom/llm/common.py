@@ -38,9 +38,15 @@ def remainder(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+BATCH_ROWS = 2_000
+
+
 def ship(spark) -> None:
-    """Sends this library to the executors, for jobs that were not submitted with it."""
+    """Readies a session: sends this library to the executors, for jobs that were not submitted with it, and
+    keeps Arrow batches to ``BATCH_ROWS`` rows, as rows are whole texts here."""
     context = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(context, "_errorloom_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]

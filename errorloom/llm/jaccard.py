@@ -31,13 +31,13 @@ from errorloom.llm.wordscan import chunks, mix64, words
 
 WORDS = 5
 SIMILAR = (3, 4)  # at least 3/4
-FREQUENT_IN_BATCH = 8
+FREQUENT_IN_BATCH = 6
 FREQUENT = 1 << 20  # shingles kept in order of frequency: at most 8 MB
 FILTER = 1 << 24
 SALTS = 64
 BLOCK = 4096
 HASH_BITS = 50
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 LEAVES = 8
 
 

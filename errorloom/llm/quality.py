@@ -20,7 +20,7 @@ from errorloom.llm.toxicity import training_rows
 from errorloom.llm.wordscan import STRETCH, buffers, chunks, mix64, words
 
 SAMPLE = 12_000
-CHUNK = 4 << 20  # bytes of text looked at together
+CHUNK = 2 << 20  # bytes of text looked at together
 BINS, PAIR_BINS = 48, 12
 ROUNDS, PAIR_ROUNDS, PAIRS = 80, 40, 6
 RATE, SHRINK, LEAST = 0.2, 5.0, 20

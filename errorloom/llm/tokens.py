@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 END = 0
 SPECIAL = "<|endoftext|>"
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:

@@ -20,7 +20,7 @@ from errorloom.llm.wordscan import MARKS, chunks, words
 BINS = 1 << 18
 BEGINNINGS = (4, 5)
 SAMPLE = 12_000
-CHUNK = 4 << 20  # bytes of text looked at together
+CHUNK = 2 << 20  # bytes of text looked at together
 TERMS = 1024
 LEAST_DOCUMENTS = 3
 FACTORS = 8
