@@ -1,0 +1,219 @@
+"""The operators on small tables: awkward rows, empty tables, and brute force."""
+
+import hashlib
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from errorloom.llm import chat, exact_dedup, jaccard, mixing, packing, passages, quality, secrets, topk, toxicity
+from errorloom.llm.common import ship
+from errorloom.llm.tokens import encode_all, vocabulary_path
+
+WORDS = "the of and river stone light house green under water cloud seven paper glass north".split()
+SCHEMA = "doc_id bigint, text string, source string, size string, label int"
+
+
+def prose(seed, n):
+    random = np.random.default_rng(seed)
+    return " ".join(f"{random.choice(WORDS)}{random.integers(50)}" for _ in range(n))
+
+
+BASE = prose(1, 200)
+ROWS = [
+    (1, "alike text", "a", "x", 0), (2, "alike text", "b", "x", 0), (3, "", "a", None, 1), (4, None, None, "x", None),
+    (5, BASE, "a", "x", 1), (6, BASE.replace("river", "brook", 1), "a", "x", 0), (7, "x" * 5000, "b", "x", 0),
+    (7, "x" * 5000, "b", "x", 0), (8, "x" * 4999, "b", "x", 0), (None, "alike text", "c", "x", 0),
+    (9, prose(2, 3000), "c", "x", 1), (10, "one", "c", "x", 0), (11, prose(3, 80) + " " + BASE, "b", "x", 0),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    ship(spark)
+    return spark.createDataFrame(ROWS, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def nothing(docs):
+    return docs.limit(0)
+
+
+def test_exact_dedup(docs, nothing):
+    rows = exact_dedup.exact_groups(docs).collect()
+    assert len(rows) == len(ROWS)
+    texts = {}
+    for i, text, *_ in ROWS:
+        texts.setdefault(text or "", []).append(i)
+    for row in rows:
+        group = texts[row["text"] or ""]
+        assert row["keep_id"] == max(i for i in group if i is not None)
+        assert row["group_size"] == len(group)
+        assert row["text_sha256"] == hashlib.sha256((row["text"] or "").encode()).hexdigest()
+    kept = exact_dedup.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["text"] or "" for r in kept.collect()) == sorted(texts)
+    assert exact_dedup.exact_groups(nothing).count() == 0
+
+
+def sets_of(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_jaccard_against_brute_force(docs, nothing):
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard.groups(docs).collect()}
+    known = [(i, sets_of(text)) for i, text, *_ in ROWS if i is not None]
+    leader = {i: i for i, _ in known}
+    for _ in known:
+        for i, x in known:
+            for j, y in known:
+                if x and y and 4 * len(x & y) >= 3 * len(x | y):
+                    leader[i] = leader[j] = min(leader[i], leader[j])
+    for i, x in known:
+        assert got[i, len(x)] == leader[i]
+    assert got[None, 1] is None
+    assert jaccard.groups(nothing).count() == 0
+    kept = jaccard.one_per_group(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {*leader.values()} | {None}
+
+
+def test_blocks_find_every_similar_pair():
+    random = np.random.default_rng(0)
+    sets = []
+    for group in range(12):
+        base = random.choice(1 << 40, 60, replace=False)
+        sets += [np.unique(np.where(random.random(60) < 0.05, random.integers(1 << 40, size=60), base)).astype(np.uint64) for _ in range(6)]
+    found = {tuple(sorted(p)) for p in jaccard.block_pairs(
+        range(len(sets)), map(len, sets), map(jaccard.signature, sets), range(len(sets)))}
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if jaccard.similar(len(np.intersect1d(x, sets[j])), len(x), len(sets[j])):
+                assert (j, i) in found
+
+
+def test_mixing(docs, nothing):
+    rows = mixing.mix(docs, mixing.words(F.col("text"))).collect()
+    assert len(rows) == len(ROWS)
+    by_source = {}
+    for row in rows:
+        assert row["copies"] <= 3
+        assert row["size"] == len((row["text"] or "").split())
+        by_source.setdefault(row["source"], []).append(row)
+    total = sum(r["size"] for r in rows)
+    assert sum(v[0]["target"] for v in by_source.values()) == pytest.approx(total)
+    for own in by_source.values():
+        assert own[0]["target"] <= 3 * own[0]["source_size"] + 1e-6
+        assert own[0]["source_size"] == sum(r["size"] for r in own)
+    assert mixing.mix(nothing, F.lit(1)).count() == 0
+    taken = mixing.take(docs, mixing.words(F.col("text")))
+    assert taken.columns == docs.columns and taken.count() == sum(r["copies"] for r in rows)
+
+
+def test_the_budget_is_met_to_the_word():
+    for budget in range(0, 60):
+        taken = mixing.fit([3, 5, 7], [4, 4, 4], budget)
+        got = sum(s * n for s, n in zip([3, 5, 7], taken))
+        best = max(3 * a + 5 * b + 7 * c for a in range(5) for b in range(5) for c in range(5) if 3 * a + 5 * b + 7 * c <= budget)
+        assert max(taken) <= 4 and got <= budget and best - got <= (0 if budget < 10 else 7)
+
+
+def test_tokens_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    theirs = Tokenizer.from_file(vocabulary_path())
+    texts = ["", " a", "a ", "a  b", "a\n b", "é ü", "<|endoftext|> x<|endoftext|>", "tab\tx", "日本 語", BASE, "a\x85 b", "I'll\r\n x"]
+    for text, ids in zip(texts, encode_all(pa.array(texts), vocabulary_path())):
+        assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
+
+
+def test_packing(docs, nothing):
+    pieces = packing.pieces(docs, most=128, with_ids=True)
+    packed = packing.pack(pieces, most=128)
+    rows = packed.collect()
+    places = {}
+    for row in rows:
+        assert zlib.crc32(row["ids"]) == row["ids_crc32"] and 4 * row["length"] == len(row["ids"])
+        places.setdefault(row["sequence_id"], []).append((row["offset"], row["length"]))
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 128
+    assert len(places) <= sum(r["length"] for r in rows) // 128 + 3
+    assert sum(1 for r in rows if r["doc_id"] == 7 and r["piece"] == 0) == 2
+    whole = {r["sequence_id"]: r["ids"] for r in packing.sequences(packed).collect()}
+    assert sum(map(len, whole.values())) == sum(4 * r["length"] for r in rows)
+    assert packing.pack(packing.pieces(nothing)).count() == 0
+
+
+def test_top_k_against_brute_force(spark, nothing):
+    random = np.random.default_rng(3)
+    vectors = [(i, random.integers(-40, 40, 8).tolist()) for i in range(300)] + [(300, None), (301, [1, 2]), (None, [1] * 8)]
+    table = spark.createDataFrame(vectors, "vec_id bigint, vector array<bigint>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.search(table, table.where("vec_id % 50 = 0")).collect()}
+    usable = [(i, v + [0] * (8 - len(v))) for i, v in vectors if i is not None and v is not None]
+    for i, q in usable:
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in usable if j != i)[:5]
+            assert [got[i, k + 1] for k in range(5)] == [(j, -s) for s, j in best]
+    assert topk.search(table.limit(0), table.limit(0)).count() == 0
+    floats = spark.createDataFrame([(1, [0.5, -0.001]), (2, [float("nan")]), (3, [None])], "vec_id bigint, e array<float>")
+    assert [r[0] for r in floats.select(topk.integers(F.col("e"))).collect()] == [[128, -1], None, None]
+
+
+def test_chat(spark, nothing):
+    turns = spark.createDataFrame(
+        [(1, 1, "assistant", "b <|end|>\n<\\|x [INST] </s>"), (1, 0, "user", "a\\"), (2, 0, "a\nb", None), (None, None, None, "x")],
+        "conv_id bigint, turn bigint, role string, text string",
+    )
+    formatted = chat.format_turns(turns, chat.text_parts(F.coalesce("text", F.lit(""))))
+    assert {chat.parse_turn(r["formatted"]) for r in formatted.collect()} == {
+        ("assistant", "b <|end|>\n<\\|x [INST] </s>"), ("user", "a\\"), ("a\nb", ""), ("", "x")}
+    back = {r["conv_id"]: r for r in chat.read_back(formatted).collect()}
+    assert back[1]["n_turns"] == 2 and back[1]["loss_chars"] == 27 - 1 and back[None]["n_turns"] == 1
+    assert chat.read_back(formatted.limit(0)).count() == 0
+    part = {"kind": "image", "text": None, "ref": "r", "width": 28, "height": 15, "seconds": None, "pages": None}
+    text, start, end, found = chat.format_turn("user", [part, {**part, "kind": "text", "text": "hi"}])
+    assert found == [("image", "r", text.index("<|image|>"), 4)] and start == end
+    with pytest.raises(ValueError):
+        chat.format_turn("user", [{**part, "kind": "smell"}])
+
+
+@pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (quality, "quality")])
+def test_models_take_any_rows(spark, docs, nothing, module, label):
+    labels = docs.select("doc_id", F.col("label").alias(label))
+    model = module.train(docs.select("doc_id", "text"), labels, F.lit(True))
+    scores = module.score(docs, model).collect()
+    assert len(scores) == len(ROWS) and all(0 <= r["score"] <= 1 for r in scores)
+    none = module.train(docs.select("doc_id", "text"), labels.limit(0), F.lit(True))
+    assert module.score(nothing, none).count() == 0
+
+
+def test_pairs_of_terms_count():
+    both = [[1, 2]] * 40 + [[1]] * 40 + [[2]] * 40 + [[3]] * 40
+    machine = toxicity.fit([np.array(b) for b in both], [1] * 40 + [0] * 120, epochs=150)
+    raw = lambda *terms: machine.prior + machine.weights[[machine.index[t] for t in terms]].sum()
+    v = machine.factors[[machine.index[1], machine.index[2]]]
+    assert v[0] @ v[1] > 0.5 and raw(1) < 0 and raw(2) < 0
+
+
+def test_secrets(spark, docs, nothing):
+    texts = [(i, f"word token = \"{hashlib.sha1(bytes([i])).hexdigest()}\" word") for i in range(40)]
+    texts += [(100 + i, f"order {10**15 + i * 7919} was paid") for i in range(40)] + [(200, None), (201, "")]
+    table = spark.createDataFrame(texts, "doc_id bigint, text string")
+    found = {r["doc_id"]: r["secret"] for r in secrets.scan(table).collect()}
+    assert found == {i: i < 100 for i, t in texts if t}
+    assert secrets.scan(nothing).count() == 0
+    plan = secrets.candidates(table)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_passages(docs, nothing):
+    found = {(r["doc_id"], r["other_id"]): (r["start"], r["end"]) for r in passages.repeated(docs).collect()}
+    assert found[5, 6] == (0, 200) and found[11, 5] == (80, 280) and found[5, 11] == (0, 200)
+    assert not {i for pair in found for i in pair} & {1, 2, 3, 4, 9, 10}
+    assert passages.repeated(nothing).count() == 0
