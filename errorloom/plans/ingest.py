@@ -51,10 +51,11 @@ def to_reports(
     )
 
 
-def run_batch(raw: DataFrame, config: Config, batch_id: int = 0) -> None:
+def run_batch(raw: DataFrame, config: Config, batch_id: int) -> None:
     """Writes the batch's new browsers, reports, rejects and tallies.
 
-    Batches are numbered from 0, each number once, and have one writer. Running a batch again, whole
+    Batches are numbered from 0, each number once, and have one writer at a time; streams number theirs
+    from ``streaming.ingest.FIRST_BATCH`` on, so loads and a stream do not meet. Running a batch again, whole
     or after a failure half way, gives the same tables: it reads only browsers of earlier batches and
     replaces its own partitions.
     """

@@ -210,7 +210,7 @@ def geo_enriched(spark, sf_dir):
 
 def _ingested(spark, sf_dir):
     config = Config(write_uri=_scratch(spark))
-    ingest.run_batch(_raw(spark, sf_dir), config)
+    ingest.run_batch(_raw(spark, sf_dir), config, batch_id=0)
     return config
 
 

@@ -1,7 +1,8 @@
 """The stored tables: parquet, partitioned by the batch that wrote them.
 
-A batch owns its ``batch_id`` partitions. Writing one again replaces it, so a batch that is run
-twice, after a lost driver or a replay of the stream, leaves one copy.
+A batch owns its ``batch_id`` folder, which writing it again replaces as a whole, days that the new rows do
+not have and an empty result included. So a batch that is run twice, after a lost driver, a replay of
+the stream or with other settings, leaves one copy.
 """
 
 from pyspark.errors import AnalysisException
@@ -21,7 +22,7 @@ BY_DAY = ("reports",)  # also partitioned by day, for pruning
 
 
 def partition_columns(name: str) -> list:
-    return (["day"] if name in BY_DAY else []) + ["batch_id"]
+    return ["batch_id"] + (["day"] if name in BY_DAY else [])
 
 
 def location(uri: str, name: str) -> str:
@@ -37,16 +38,14 @@ def write_batch(
     days and would otherwise leave as many small files. A big day is spread over several tasks.
     """
     columns = SCHEMAS[name].fieldNames()
-    rows = df.select(*columns).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    rows = df.select(*columns)
+    days = []
     if name in BY_DAY:
-        rows = rows.withColumn("day", F.to_date("date"))
+        rows, days = rows.withColumn("day", F.to_date("date")), ["day"]
         if gather_days:
             rows = rows.hint("rebalance", "day")
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partition_columns(name))
-        .parquet(location(uri, name))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*days).parquet(
+        f"{location(uri, name)}/batch_id={int(batch_id)}"
     )
 
 

@@ -8,11 +8,17 @@ from errorloom.config import Config
 from errorloom.plans.ingest import run_batch
 
 
+# Micro-batches are numbered from here, so that a stream never takes the place of batches loaded before.
+FIRST_BATCH = 1 << 40
+
+
 def start_stream(
-    raw: DataFrame, config: Config, checkpoint: str, trigger: dict | None = None
+    raw: DataFrame, config: Config, checkpoint: str, trigger: dict | None = None, first_batch: int = FIRST_BATCH
 ) -> StreamingQuery:
     """Runs every micro-batch of ``raw`` through ``run_batch``.
 
+    A second stream into the same tables, or one with a new checkpoint, needs a ``first_batch`` of its own.
+
     The browser dimension is the only state, and it is a table. Requests that cannot become reports
     go to the reject log and never stop the query.
     """
@@ -21,7 +27,7 @@ def start_stream(
         # Three writes read the batch; lost blocks are read from the source again.
         batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            run_batch(batch, config, batch_id)
+            run_batch(batch, config, first_batch + batch_id)
         finally:
             batch.unpersist()
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from builders import START, dicts, raw
 from errorloom import fixtures as fx
 from errorloom import schemas
-from errorloom.config import Config
+from errorloom.config import Config, shared_folder
 from errorloom.golden_agents import GOLDEN_AGENTS
+from errorloom.operators.lookups import cut_lineage
 from errorloom.plans import ingest, reporting
 from errorloom.sources import beacons as sources
 from errorloom.sources import jdbc
@@ -39,7 +40,7 @@ def stored_rows(spark, uri, name):
 
 
 def batch_tables(spark, raw_df, uri, **options):
-    ingest.run_batch(raw_df, Config(write_uri=uri, **options))
+    ingest.run_batch(raw_df, Config(write_uri=uri, **options), 0)
     return tables(spark, uri)
 
 
@@ -107,7 +108,7 @@ def test_options_reach_the_reject_log(spark, tmp_path):
     df = raw(spark, {"xff": "1.1.1.1, 2.2.2.2"}, {"query_string": "message=a%20b"}, {})
     uri = str(tmp_path / "t")
     config = Config(write_uri=uri, multi_ip="reject", screen_keywords=True)
-    ingest.run_batch(df, config)
+    ingest.run_batch(df, config, 0)
     rows = dicts(read_table(spark, uri, "rejects"), "id")
     assert [(r["id"], r["reject_reason"], r["ip"], r["date"]) for r in rows] == [
         (1, "ip", None, START),
@@ -118,7 +119,7 @@ def test_options_reach_the_reject_log(spark, tmp_path):
 
 def test_a_batch_of_nothing(spark, tmp_path):
     uri = str(tmp_path / "t")
-    ingest.run_batch(raw(spark, {}).where("false"), Config(write_uri=uri))
+    ingest.run_batch(raw(spark, {}).where("false"), Config(write_uri=uri), 0)
     for name in ("browsers", "reports", "rejects", "tallies"):
         assert read_table(spark, uri, name).isEmpty()
     assert reporting.running_summaries(spark, Config(write_uri=uri))["script_summary"].isEmpty()
@@ -218,3 +219,53 @@ def test_jdbc_ranges_cover_all_ids():
 
 def test_fixture_agents_are_all_used(spark, requests):
     assert requests.select("user_agent").distinct().count() == len(GOLDEN_AGENTS)
+
+
+def test_a_stricter_rerun_leaves_one_copy(spark, requests, tmp_path):
+    uri = str(tmp_path / "t")
+    some = requests.where("id <= 40")
+    ingest.run_batch(some, Config(write_uri=uri), 0)
+    ingest.run_batch(some.withColumn("query_string", F.lit("message=a%20b")), Config(write_uri=uri, screen_keywords=True), 0)
+    assert read_table(spark, uri, "reports").isEmpty() and read_table(spark, uri, "tallies").isEmpty()
+    assert read_table(spark, uri, "rejects").count() == 40
+
+
+def test_a_stream_keeps_what_was_loaded_before(spark, requests, tmp_path):
+    uri, arriving = str(tmp_path / "t"), str(tmp_path / "in")
+    ingest.run_batch(requests.where("id <= 500"), Config(write_uri=uri), 0)
+    requests.where("id > 500").write.parquet(arriving)
+    stream = sources.stream_beacons(spark, arriving)
+    start_stream(stream, Config(write_uri=uri), str(tmp_path / "c"), NOW).awaitTermination()
+    whole = batch_tables(spark, requests, str(tmp_path / "whole"))
+    assert tables(spark, uri) == whole
+
+
+def test_reports_after_resolving_everything(spark, requests, tmp_path):
+    uri, out = str(tmp_path / "t"), str(tmp_path / "out")
+    config = Config(write_uri=uri)
+    ingest.run_batch(requests.where("id <= 100"), config, 0)
+    reporting.write_reports(spark, config, out)
+    assert not spark.read.parquet(f"{out}/message_summary").isEmpty()
+    resolved = cut_lineage(read_table(spark, uri, "reports").withColumn("status", F.lit(1)))
+    write_batch(resolved, uri, "reports", 0)
+    reporting.write_reports(spark, config, out)
+    assert spark.read.parquet(f"{out}/message_summary").isEmpty()
+
+
+def test_no_silent_folder_on_a_cluster():
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Session())
