@@ -19,6 +19,8 @@ Exact for every link between different sets, and linear where documents resemble
 Which shingles count as frequent, and the salts, only decide who is compared first, never the result.
 """
 
+from itertools import combinations_with_replacement
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -237,17 +239,45 @@ def block_pairs(nodes, sizes, signatures, groups) -> list:
     for node, n, bits, group in zip(nodes, sizes, signatures, groups):
         by_group.setdefault(group, {})[node] = (node, int(n), int.from_bytes(bits, "little"), len(bits) * 8)
     trees = [Tree(sorted(leaves.values(), key=lambda x: x[1])) for leaves in by_group.values()]
-    trees.sort(key=lambda tree: tree.least)
     found: list = []
-    over, under = SIMILAR
-    for i, a in enumerate(trees):
-        for b in trees[i + 1 :]:
-            if over * b.least > under * a.most:
-                break
-            traverse(a, b, found)
+    for a, b in root_pairs(trees):
+        traverse(a, b, found)
     return found
 
 
+def root_pairs(trees):
+    """The pairs of trees whose roots pass ``may_link``, a root against all others in one array operation."""
+    over, under = SIMILAR
+    by_width: dict = {}
+    for tree in sorted(trees, key=lambda tree: tree.least):
+        by_width.setdefault(tree.width, []).append(tree)
+    tables = {
+        width: (
+            np.frombuffer(b"".join(t.bits.to_bytes(width // 8, "little") for t in roots), "<u8").reshape(len(roots), -1),
+            *np.array([(t.least, t.most, t.doubled) for t in roots], dtype=np.int64).T,
+        )
+        for width, roots in by_width.items()
+    }
+    for narrow, wide in combinations_with_replacement(sorted(by_width), 2):
+        bits, least, most, doubled = tables[narrow]
+        others, other_least, other_most, extra = tables[wide]
+        if under * most.max() < over * other_least[0] or under * other_most.max() < over * least[0]:
+            continue
+        if wide > narrow:
+            extra = other_most
+            while others.shape[1] > bits.shape[1]:
+                half = others.shape[1] // 2
+                others = others[:, :half] | others[:, half:]
+        ends = np.searchsorted(other_least, under * most // over, side="right")
+        for i in range(len(bits)):
+            at = slice(i + 1 if narrow == wide else 0, ends[i])
+            shared = np.bitwise_count(bits[i] & others[at]).sum(1, dtype=np.int64)
+            needed = -(-over * (least[i] + other_least[at]) // (over + under))
+            passed = (shared + np.minimum(doubled[i], extra[at]) >= needed) & (under * other_most[at] >= over * least[i])
+            for j in np.flatnonzero(passed):
+                yield by_width[narrow][i], by_width[wide][at.start + j]
+
+
 def _blocks(sets: DataFrame) -> DataFrame:
     """(shingle, salt, node, first): the sets of every block that has at least two, or a frequent shingle."""
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int") + 1

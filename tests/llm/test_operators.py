@@ -94,6 +94,21 @@ def test_blocks_find_every_similar_pair():
                 assert (j, i) in found
 
 
+def test_roots_meet_as_one_by_one():
+    random = np.random.default_rng(8)
+    common = np.unique(random.integers(0, 1 << 50, 400, dtype=np.uint64))
+    trees = []
+    for i in range(120):
+        sets = [common[: random.integers(1, 400)] if i % 2 else random.integers(0, 1 << 50, random.integers(1, 900), dtype=np.uint64)
+                for _ in range(1 + i % 3)]
+        leaves = [(i, len(x), int.from_bytes(bits, "little"), 8 * len(bits)) for x, bits in ((x, jaccard.signature(x)) for x in sets)]
+        trees.append(jaccard.Tree(sorted(leaves, key=lambda leaf: leaf[1])))
+    met = {frozenset((id(a), id(b))) for a, b in jaccard.root_pairs(trees)}
+    each = {frozenset((id(a), id(b))) for i, a in enumerate(trees) for b in trees[:i] if jaccard.may_link(a, b)}
+    assert met == each and 0 < len(met) < 120 * 119 / 2
+    assert list(jaccard.root_pairs([])) == []
+
+
 def test_mixing(docs, nothing):
     rows = mixing.mix(docs, mixing.words(F.col("text"))).collect()
     assert len(rows) == len(ROWS)
