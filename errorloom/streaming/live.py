@@ -1,7 +1,8 @@
 """Summaries kept up to date by Structured Streaming itself.
 
 One aggregation each, because a streaming plan in update or complete mode allows no more; counting
-distinct versions is a set of versions, as long as the dimension has versions of that type.
+distinct versions is a set of versions, as long as the dimension has versions of that type. As in the
+dimension, spellings that differ in case are one version.
 """
 
 from pyspark.sql import DataFrame
@@ -45,7 +46,7 @@ def live_message_summary(feed: DataFrame) -> DataFrame:
 
 
 def live_browser_summary(feed: DataFrame) -> DataFrame:
-    versions = F.size(F.collect_set("version")).cast("bigint").alias("versions")
+    versions = F.size(F.collect_set(F.lower("version"))).cast("bigint").alias("versions")
     return feed.groupBy("type").agg(versions, *_counts())
 
 

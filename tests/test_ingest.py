@@ -211,6 +211,13 @@ def test_kafka_records(spark):
     assert rows[2]["query_string"] is None
 
 
+def test_kafka_records_that_do_not_fit_an_id_are_refused(spark):
+    for partition, offset in ((4096, 0), (0, 1 << 51)):
+        record = spark.createDataFrame([(b"{}", partition, offset)], "value binary, partition int, offset bigint")
+        with pytest.raises(Exception, match="Kafka ids"):
+            sources.from_kafka(record).collect()
+
+
 def test_jdbc_ranges_cover_all_ids():
     options = jdbc.range_options(5, 104, 10)
     assert options["partitionColumn"] == "id"
