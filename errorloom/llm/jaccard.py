@@ -6,8 +6,8 @@ Exact for every link between different sets, and linear where documents resemble
 2. Shingles have one global order: frequent ones last, else by hash. Similar sets share one of the first
    quarter of their shingles in that order (their prefix), so a block per prefix shingle brings every
    similar pair together somewhere. Frequent ones last keeps a passage that many documents quote out of blocks.
-3. In every block each set is compared with the block's first. What is similar becomes a component, so a
-   crowd of near copies costs one comparison per member. Blocks of frequent shingles are salted, and their
+3. In every block each set is compared with the block's first and last. What is similar becomes a component,
+   so a crowd of near copies costs two comparisons per member. Blocks of frequent shingles are salted, and their
    salted parts' first sets are compared with each other.
 4. What is left are pairs from different components in the same block. A block is a signature tree: leaves
    hold a bitmap of a set's shingles and its size, inner nodes the OR of their bitmaps, the range of sizes and
@@ -40,7 +40,7 @@ SALTS = 64
 BLOCK = 4096
 HASH_BITS = 50
 CHUNK = 2 << 20
-LEAVES = 8
+SHARP = 1 << 13
 
 
 def shingle_sets(texts: pa.Array, size: int = WORDS):
@@ -79,16 +79,24 @@ def set_names(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return np.stack([mix64(s[bounds[1:]] - s[bounds[:-1]] + n) for s in sums], 1).view(np.int64)
 
 
-def signature(values: np.ndarray) -> bytes:
-    """A bitmap of the set, its width the power of two from the size on."""
+def signature(values: np.ndarray, spread: int = 4) -> bytes:
+    """A bitmap of the set, its width the power of two from ``spread`` times the size on.
+
+    Beyond ``SHARP`` bits the size is enough: a long text is in many blocks, each with its bitmap.
+    """
     width = 64
-    while width < len(values):
+    while width < min(spread * len(values), max(len(values), SHARP)):
         width *= 2
     bits = np.zeros(width, dtype=np.uint8)
     bits[(values % np.uint64(width)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def bitmap(signature: bytes) -> tuple:
+    """A signature as an integer, and its width."""
+    return int.from_bytes(signature, "little"), 8 * len(signature)
+
+
 def prefix_size(n: int) -> int:
     """A set and a similar one share at least three quarters of it, so one of these first shingles."""
     over, under = SIMILAR
@@ -120,7 +128,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Per document its set: name, size, signature, and the prefix apart by whether shingles are frequent."""
+    """Per document its set: name, size, signature, a narrow one (sketch), and the prefix apart by whether shingles are frequent."""
 
     def made(batches):
         mask = np.uint64(FILTER - 1)
@@ -136,7 +144,7 @@ def _sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 if len(hits):
                     places = np.minimum(np.searchsorted(frequent, values[hits]), len(frequent) - 1)
                     often[hits] = frequent[places] == values[hits]
-                rare, common, signatures = [], [], []
+                rare, common, signatures, sketches = [], [], [], []
                 for a, b in zip(bounds[:-1], bounds[1:]):
                     own, mark = values[a:b], often[a:b]
                     size = prefix_size(b - a) if b > a else 0
@@ -144,17 +152,17 @@ def _sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     rare.append(seldom.view(np.int64))
                     common.append(own[mark][: size - len(seldom)].view(np.int64))
                     signatures.append(signature(own))
+                    sketches.append(signature(own, 1))
                 lists = [pa.array(x, pa.list_(pa.int64())) for x in (rare, common)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(texts)), pa.array(n), pa.array(names[:, 0]), pa.array(names[:, 1]),
-                     pa.array(signatures, pa.binary()), *lists],
-                    ["doc_id", "n", "node", "check", "signature", "rare", "common"],
+                     pa.array(signatures, pa.binary()), pa.array(sketches, pa.binary()), *lists],
+                    ["doc_id", "n", "node", "check", "signature", "sketch", "rare", "common"],
                 )
                 at += len(texts)
 
-    return docs.select("doc_id", "text").mapInArrow(
-        made, "doc_id bigint, n bigint, node bigint, check bigint, signature binary, rare array<bigint>, common array<bigint>"
-    )
+    columns = "doc_id bigint, n bigint, node bigint, check bigint, signature binary, sketch binary"
+    return docs.select("doc_id", "text").mapInArrow(made, f"{columns}, rare array<bigint>, common array<bigint>")
 
 
 def similar(shared: int, a: int, b: int) -> bool:
@@ -209,11 +217,10 @@ def may_link(a: Tree, b: Tree) -> bool:
     return (x & y).bit_count() + extra >= least_overlap(a.least, b.least)
 
 
-def _leaves_may_link(n: int, bits: bytes, m: int, others: bytes) -> bool:
+def sets_may_link(n: int, bits: int, width: int, m: int, others: int, other_width: int) -> bool:
     """``may_link`` for two sets, by the shingles of each that surely miss the other."""
-    width = 8 * min(len(bits), len(others))
-    x = fold(int.from_bytes(bits, "little"), 8 * len(bits), width)
-    y = fold(int.from_bytes(others, "little"), 8 * len(others), width)
+    narrow = min(width, other_width)
+    x, y = fold(bits, width, narrow), fold(others, other_width, narrow)
     shared = (x & y).bit_count()
     return min(n - x.bit_count() + shared, m - y.bit_count() + shared) >= least_overlap(n, m)
 
@@ -226,7 +233,9 @@ def traverse(a: Tree, b: Tree, found: list) -> None:
         if not may_link(a, b):
             continue
         if not a.children and not b.children:
-            found.append((a.leaves[0][0], b.leaves[0][0]))
+            (one, *own), (other, *its) = a.leaves[0], b.leaves[0]
+            if sets_may_link(*own, *its):
+                found.append((one, other))
         elif a.children and (not b.children or len(a.leaves) >= len(b.leaves)):
             stack.extend((child, b) for child in a.children)
         else:
@@ -237,7 +246,7 @@ def block_pairs(nodes, sizes, signatures, groups) -> list:
     """Candidates among the sets of a block, from different groups."""
     by_group: dict = {}
     for node, n, bits, group in zip(nodes, sizes, signatures, groups):
-        by_group.setdefault(group, {})[node] = (node, int(n), int.from_bytes(bits, "little"), len(bits) * 8)
+        by_group.setdefault(group, {})[node] = (node, int(n), *bitmap(bits))
     trees = [Tree(sorted(leaves.values(), key=lambda x: x[1])) for leaves in by_group.values()]
     found: list = []
     for a, b in root_pairs(trees):
@@ -279,7 +288,7 @@ def root_pairs(trees):
 
 
 def _blocks(sets: DataFrame) -> DataFrame:
-    """(shingle, salt, node, first): the sets of every block that has at least two, or a frequent shingle."""
+    """(shingle, salt, node, first, last): the sets of every block that has at least two, or a frequent shingle."""
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int") + 1
     rows = sets.select("node", F.explode("rare").alias("shingle"), F.lit(0).alias("salt")).unionByName(
         sets.select("node", F.explode("common").alias("shingle"), salt.alias("salt"))
@@ -287,7 +296,7 @@ def _blocks(sets: DataFrame) -> DataFrame:
     block = Window.partitionBy("shingle", "salt")
     return stored(
         rows.withColumn("first", F.min("node").over(block)).withColumn("last", F.max("node").over(block))
-        .where("first <> last or salt > 0").drop("last"),
+        .where("first <> last or salt > 0"),
         "blocks",
     )
 
@@ -334,15 +343,15 @@ def _alike(left: bytes, right: bytes) -> bool:
 
 
 def _near(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) that their signatures do not rule out."""
+    """Pairs (a, b) that their sketches do not rule out."""
 
     @F.pandas_udf("boolean")
     def possible(n: pd.Series, bits: pd.Series, m: pd.Series, others: pd.Series) -> pd.Series:
-        rows = zip(n.tolist(), bits, m.tolist(), others)
-        return pd.Series([_leaves_may_link(*row) for row in rows], dtype=bool)
+        own, its = (zip(x.tolist(), *zip(*map(bitmap, y))) for x, y in ((n, bits), (m, others)))
+        return pd.Series([sets_may_link(*x, *y) for x, y in zip(own, its)], dtype=bool)
 
-    a = signed.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
-    b = signed.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
+    a = signed.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = signed.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     size = (F.col("nb") * 4 >= F.col("na") * 3) & (F.col("na") * 4 >= F.col("nb") * 3)
     return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(size).where(possible("na", "sa", "nb", "sb")).select("a", "b")
 
@@ -370,7 +379,7 @@ def _across(blocks: DataFrame, groups: DataFrame, signed: DataFrame) -> DataFram
     rows = (
         grouped.join(stored(mixed, "mixed"), "shingle").withColumn("part", part)
         .select("node", "group", "shingle", pair.alias("at")).select("node", "group", "shingle", "at.*")
-        .join(signed, "node")
+        .join(signed.select("node", "n", "signature"), "node")
         .repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
     )
 
@@ -412,12 +421,13 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     clash = sets.groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y")
     if not clash.isEmpty():
         raise RuntimeError("two different sets have one name")
-    signed = sets.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("signature").alias("signature"))
+    signed = sets.groupBy("node").agg(*(F.any_value(x).alias(x) for x in ("n", "signature", "sketch")))
     signed = stored(signed, "signed")
 
     blocks = _blocks(sets)
     heads = blocks.where("salt > 0").groupBy("shingle").agg(F.min("first").alias("head"))
-    stars = blocks.select(F.col("node").alias("a"), F.col("first").alias("b")).unionByName(
+    pivots = F.when(F.col("node") == F.col("first"), F.array()).otherwise(F.array("first", "last"))
+    stars = blocks.select(F.col("node").alias("a"), F.explode(pivots).alias("b")).unionByName(
         blocks.where("salt > 0").select("shingle", "first").distinct().join(stored(heads, "heads"), "shingle")
         .select(F.col("first").alias("a"), F.col("head").alias("b"))
     )
@@ -427,7 +437,7 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     repeats = sets.join(least.select("doc_id", "b"), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
     links = links.unionByName(repeats)
     first = components(links)
-    more = _linked(_near(_across(blocks, first, signed), signed), sets, docs)
+    more = _linked(_across(blocks, first, signed), sets, docs)
     nodes = first if more.isEmpty() else components(links.unionByName(more))
 
     placed = sets.select("doc_id", "node").join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
