@@ -232,3 +232,44 @@ def test_passages(docs, nothing):
     assert found[5, 6] == (0, 200) and found[11, 5] == (80, 280) and found[5, 11] == (0, 200)
     assert not {i for pair in found for i in pair} & {1, 2, 3, 4, 9, 10}
     assert passages.repeated(nothing).count() == 0
+
+
+def test_two_passages_with_unlike_text_between_them(spark):
+    for i, (size, gap) in enumerate([(200, 300), (80, 100)]):
+        one, two = prose(40 + i, size), prose(50 + i, size)
+        table = spark.createDataFrame([(k, f"{one} {prose(60 + 10 * i + k, gap)} {two}") for k in (1, 2)], "doc_id bigint, text string")
+        found = {(r["start"], r["end"]) for r in passages.repeated(table).where("doc_id = 1").collect()}
+        assert len(found) == 2
+        for (start, end), at in zip(sorted(found), (0, size + gap)):
+            assert abs(start - at) <= 2 and abs(end - at - size) <= 2
+
+
+def test_every_stretch_of_a_chain_is_weighed():
+    words = np.arange(1000, dtype=np.uint32)
+    a, b = words[:200].copy(), words[:200].copy()
+    # 30 alike, 15 not, 30 alike, then little: the widest gap is within the passage.
+    for start, end in ((0, 20), (50, 65), (95, 109), (114, 128), (133, 200)):
+        b[start:end] += 500
+    found = passages.align(a, b, 0, 0, [(20, 50, 20), (65, 95, 65), (109, 114, 109), (128, 133, 128)])
+    assert found == [(20, 95, 20, 95, 60)]
+
+
+def test_long_gaps_are_aligned():
+    random = np.random.default_rng(6)
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j], row[j + 1])
+        return row[-1]
+
+    for n, m, values in ((1, 1, 2), (5, 9, 3), (70, 80, 9), (400, 300, 50), (310, 290, 4000)):
+        a, b = (random.integers(0, values, k).astype(np.uint32) for k in (n, m))
+        assert passages._common(a, b) == plain(a.tolist(), b.tolist())
+    block, passages.BLOCK = passages.BLOCK, 37
+    try:
+        assert passages._common(a[:200] % 30, b % 30) == plain((a[:200] % 30).tolist(), (b % 30).tolist())
+    finally:
+        passages.BLOCK = block
