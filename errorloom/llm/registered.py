@@ -5,7 +5,21 @@ from functools import wraps
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from errorloom.llm import chat, exact_dedup, jaccard, mixing, packing, passages, quality, secrets, topk, toxicity
+from errorloom.llm import (
+    centroids,
+    chat,
+    exact_dedup,
+    jaccard,
+    language,
+    mixing,
+    packing,
+    passages,
+    quality,
+    repair,
+    secrets,
+    topk,
+    toxicity,
+)
 from errorloom.llm.common import read, remainder, ship, stored
 
 QUERIES, ORACLE = {}, {}
@@ -134,6 +148,84 @@ def op10(spark, sf_dir):
     return passages.repeated(read(spark, sf_dir, "documents"))
 
 
+@registered("op11_language_id")
+def op11(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs, "lang", remainder("doc_id", 4) != 2)
+    held_out = (remainder("doc_id", 4) == 2).alias("held_out")
+    return language.label(docs, model).select("doc_id", held_out, "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def _clustering_sql(k: int, rounds: int) -> str:
+    """Rounds of assignment and of new centroids, each a table expression."""
+    floor = "cast((s - ((s % n) + n) % n) // n as bigint)"
+    parts = [
+        """kept as materialized (
+          select row_number() over () as row, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+          from embeddings
+          where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        )""",
+        f"""c0 as materialized (
+          select row_number() over (order by sha256('2:' || coalesce(cast(vec_id as varchar), '')), v) - 1 as c, v
+          from kept qualify c < {k}
+        )""",
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""a{i} as materialized (
+              select row, vec_id, any_value(kept.v) as v,
+                     min(list_sum(list_transform(list_zip(kept.v, c{i}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) * 64 + c) as best
+              from kept cross join c{i} group by row, vec_id
+            )"""
+        )
+        if i < rounds:
+            parts.append(
+                f"""c{i + 1} as materialized (
+                  with sums as (
+                    select cast(best % 64 as bigint) as c, dim, sum(v[dim]) as s, count(*) as n
+                    from a{i}, range(1, 65) r(dim) group by all
+                  ), means as (select c, list({floor} order by dim) as v from sums group by c)
+                  select c{i}.c, coalesce(means.v, c{i}.v) as v from c{i} left join means using (c)
+                )"""
+            )
+    return f"""
+    with {", ".join(parts)}, assigned as (
+      select vec_id, cast(best % 64 as integer) as cluster, cast(best // 64 as bigint) as distance from a{rounds}
+    )
+    select vec_id, cluster, distance,
+           cast(sum(distance) over (partition by cluster) as bigint) as cluster_inertia,
+           cast(sum(distance) over () as bigint) as inertia, sha256(array_to_string(c{rounds}.v, ',')) as centroid_sha256
+    from assigned join c{rounds} on c = cluster
+    """
+
+
+@registered("op12_centroid_clustering", _clustering_sql(centroids.CLUSTERS, centroids.ROUNDS))
+def op12(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return centroids.cluster(vectors).drop("centroid")
+
+
+def damaged(turns):
+    """The rows with every fault that the contract of op13 plants, and whether a row is left at all."""
+    text, role = (F.coalesce(F.col(name), F.lit(" ")) for name in ("text", "role"))
+    name = [F.coalesce(F.col(name).cast("string"), F.lit(" ")) for name in ("conv_id", "turn")]
+    draw = F.crc32(F.concat_ws(":", *name).cast("binary")) % 20
+    return turns.select(
+        "conv_id", "turn", F.when(draw == 4, "user").otherwise(role).alias("role"),
+        F.when(draw == 1, "").when(draw == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        (draw != 0).alias("there"), F.explode(F.when(draw == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+
+
+@registered("op13_conversation_repair")
+def op13(spark, sf_dir):
+    turns = damaged(read(spark, sf_dir, "conversations"))
+    audits = stored(repair.audit(turns, F.col("there")), "audits")
+    digests = repair.digests(repair.repaired(turns, audits, F.col("there"))).withColumnRenamed("conv_id", "id")
+    faults = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit"]
+    return audits.join(digests, F.col("conv_id").eqNullSafe(F.col("id"))).select("conv_id", *faults, "repaired_sha256")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
