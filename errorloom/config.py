@@ -19,6 +19,8 @@ class Config:
     # A user-agent dictionary up to this many bytes of text is broadcast; beyond it the rules
     # run on every row instead.
     max_dictionary_bytes: int = 64 * 1024 * 1024
+    # More parts of a level than this are merged after a batch; 0 never merges.
+    compact_at: int = 8
 
     @property
     def reports_from(self) -> str:

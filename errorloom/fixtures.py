@@ -28,6 +28,23 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
 
 
+def event_slices(events: DataFrame, count: int) -> list:
+    """All events as ``count`` tables, in the order of their ids, as they would arrive."""
+    lowest, highest = events.agg(F.min("event_id"), F.max("event_id")).first()
+    if lowest is None:
+        return [events] * count
+    step = (highest - lowest) // count + 1
+    starts = [lowest + number * step for number in range(count)]
+    return [events.where(F.col("event_id").between(start, start + step - 1)) for start in starts]
+
+
+def arriving_events(slices, path: str) -> DataFrame:
+    """A stream of the slices, a file each, which arrive one by one."""
+    for rows in slices:
+        rows.coalesce(1).write.mode("append").parquet(path)
+    return slices[0].sparkSession.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
@@ -40,13 +57,16 @@ def browsers(spark: SparkSession) -> DataFrame:
     )
 
 
-def reports(events: DataFrame) -> DataFrame:
+MESSAGE = "concat('Uncaught ', event_type, ' failure ', cast(user_id % 4 as string))"
+
+
+def reports(events: DataFrame, message: str = MESSAGE) -> DataFrame:
     """Browser 7 has no dimension row."""
     return events.selectExpr(
         "event_id + 1 as id",
         "concat('http://cdn.example.com/js/', event_type, '.js') as file",
         f"{K} as line",
-        "concat('Uncaught ', event_type, ' failure ', cast(user_id % 4 as string)) as message",
+        f"{message} as message",
         "user_id % 7 + 1 as browser",
         "case when event_id % 11 = 0 then 1 else 0 end as status",
         "ts as date",
@@ -118,6 +138,43 @@ def ip_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nested_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range for every order line, all around the middle of one block of 65,536 addresses and thus nested."""
+    depth = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 30_000
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        (F.lit(FIRST_IP) + depth).cast("bigint").alias("ip_start"),
+        (F.lit(FIRST_IP + 65_535) - depth).cast("bigint").alias("ip_end"),
+        F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("location"),
+    )
+
+
+def varied_reports(events: DataFrame) -> DataFrame:
+    """Reports whose messages differ in numbers, names, quoted text and addresses."""
+    name = "translate(cast(user_id as string), '0123456789', 'abcdefghij')"
+    message = (
+        "case event_id % 4"
+        " when 0 then concat('Cannot read property \"p', user_id, '\" of null at line ', event_id % 50)"
+        " when 1 then concat('Uncaught ', event_type, ' failure ', user_id % 4)"
+        f" when 2 then concat('user name ', {name}, ' was not found in ', event_type)"
+        f" else concat('Timeout of ', {K}, ' ms while loading http://cdn.example.com/', event_type, '.js') end"
+    )
+    return reports(events.withColumn("_message", F.expr(message)), message="_message")
+
+
+def outcome_requests(events: DataFrame) -> DataFrame:
+    """Requests for every outcome: several addresses or none, screened text, a missing or wrong signature, or in order."""
+    plain = raw_beacons(events).drop("query_string")
+    screened = F.when(F.col("id") % 7 == 0, "&a=x%3By").otherwise("")
+    signed = signed_requests(events).withColumn("query_string", F.concat("query_string", screened))
+    return plain.join(signed, "id")
+
+
+def dropped_hashes(reports: DataFrame) -> DataFrame:
+    """Fingerprints to delete: one message, on its last lines."""
+    dropped = reports.where("message = 'Uncaught click failure 1' and line >= 100")
+    return dropped.selectExpr("md5(concat(message, cast(line as string))) as hash").distinct()
+
+
 def fixed_hashes(reports: DataFrame) -> DataFrame:
     """Fingerprints declared fixed: one message, on the first half of its lines."""
     fixed = reports.where("message = 'Uncaught click failure 0' and line < 50")

@@ -6,6 +6,9 @@ the dictionary is too big to broadcast, the rules run on the rows themselves. Ei
 events are never shuffled, so a string that a third of them share does no harm.
 """
 
+import hashlib
+import inspect
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,11 @@ OUTPUTS = (
 )
 
 
+def rules_version() -> str:
+    """Names the rules in force: stored outcomes of other rules no longer count."""
+    return hashlib.md5(inspect.getsource(ua).encode()).hexdigest()
+
+
 def apply_rules(df: DataFrame, ua_col: str = "user_agent") -> DataFrame:
     """Adds the outputs row by row: no shuffle, but every rule's test for every row."""
     agent, low, number = F.col("_agent"), F.col("_low"), F.col("_rule")

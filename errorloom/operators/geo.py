@@ -1,99 +1,81 @@
-"""Locating addresses by a table of address ranges.
+"""Locating addresses by a table of address ranges, by longest prefixes.
 
-Addresses and ranges meet in blocks of 65,536 neighbouring addresses. Within a block the ranges are
-first flattened into segments that do not overlap; then every distinct address takes the segment
-that starts last at or before it. Both steps sort: no address is compared with range after range,
-and a block never holds more than 65,536 segments and as many addresses.
+Every range is cut into aligned blocks of a power of two addresses: at most two per size, and it covers an
+address if one of its blocks does. A block is named by its size and prefix, so ranges that share a block meet in a
+grouping, where the best range wins, and what is left is one row per block, however the ranges nest. An
+address then has one candidate block per size that occurs: its prefixes of those lengths are joined to the blocks by
+equality, and the best of the blocks found is its range. Nothing is compared with range after range, and
+rows grow with ranges and with distinct addresses, never with their product.
+
+Blocks of more than 2^16 addresses are at most 2^16 in number for each size; they are broadcast, as each may
+hold many addresses. A smaller block holds at most 2^16 distinct addresses, so no key of the shuffled join is hot.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from errorloom.operators.lookups import BROADCAST_BYTES, join_lookup
 
-BLOCK_BITS = 16
-BLOCK_SIZE = 1 << BLOCK_BITS
+BITS = 32
+WIDE = 16  # blocks of more than 2^WIDE addresses are broadcast: fewer than 2^(BITS - WIDE) of them in all
+
 
+def aligned_blocks(start: Column, end: Column) -> Column:
+    """The blocks that make up start..end, as an array of (bits, prefix): ``2^bits`` addresses from ``prefix << bits``.
+
+    On each size the part of the range that whole blocks of it cover has an odd block at its left end or at its right
+    end that no larger block takes.
+    """
 
-def _block(address):
-    return F.shiftright(address, BLOCK_BITS)
+    def of_size(bits):
+        first = F.ceil(start / F.shiftleft(F.lit(1).cast("bigint"), bits)).cast("bigint")
+        stop = F.shiftright(end + 1, bits)
+        odd = lambda n: n.bitwiseAND(F.lit(1).cast("bigint")) == 1
+        block = lambda n: F.struct(F.lit(bits).alias("bits"), n.cast("bigint").alias("prefix"))
+        some = first < stop
+        return F.array(F.when(some & odd(first), block(first)), F.when(some & odd(stop), block(stop - 1)))
 
+    return F.array_compact(F.concat(*[of_size(bits) for bits in range(BITS + 1)]))
 
-def _pieces(ranges):
-    """Ranges cut up at block borders, as [lo, hi]."""
-    blocks = F.sequence(_block(F.col("ip_start")), _block(F.col("ip_end")))
-    first = F.shiftleft(F.col("block"), BLOCK_BITS)
-    return (
-        ranges.where(F.col("ip_start") <= F.col("ip_end"))
-        .select("ip_start", "ip_end", "location", F.explode(blocks).alias("block"))
-        .withColumns(
-            {
-                "lo": F.greatest(F.col("ip_start"), first),
-                "hi": F.least(F.col("ip_end"), first + (BLOCK_SIZE - 1)),
-            }
-        )
-    )
 
+def _blocks(ranges: DataFrame) -> DataFrame:
+    """Every range with each of its blocks."""
+    start, end = F.greatest("ip_start", F.lit(0)), F.least("ip_end", F.lit((1 << BITS) - 1))
+    best = F.struct("ip_start", (-F.col("ip_end")).alias("_shortest"), "location")
+    rows = ranges.where("ip_start <= ip_end").select(
+        best.alias("best"), start.cast("bigint").alias("_start"), end.cast("bigint").alias("_end")
+    ).where("_start <= _end")
+    return rows.select("best", F.explode(aligned_blocks(F.col("_start"), F.col("_end"))).alias("block"))
 
-def segments(ranges: DataFrame) -> DataFrame:
-    """The ranges without overlaps: block, lo, hi, location.
 
-    Where ranges overlap, the one that starts last counts; of those, the shortest.
+def winners(ranges: DataFrame) -> DataFrame:
+    """bits, prefix and ``best``, the range that counts in the block: the one that starts last; of those, the shortest.
+
+    Of equal ranges the greatest location counts. Ranges that end before they start, or have a null end, hold nothing; what lies
+    beyond the address space is cut off.
     """
-    pieces = _pieces(ranges)
-    in_order = Window.partitionBy("block").orderBy("at")
-    edges = (
-        pieces.select("block", F.explode(F.array(F.col("lo"), F.col("hi") + 1)).alias("at"))
-        .distinct()
-        .withColumns(
-            {"number": F.row_number().over(in_order), "hi": F.lead("at").over(in_order) - 1}
-        )
-    )
-    opens = edges.select("block", F.col("at").alias("lo"), F.col("number").alias("first"))
-    closes = edges.select("block", (F.col("at") - 1).alias("hi"), (F.col("number") - 1).alias("last"))
-    # A piece covers the segments between its edges: one, unless other ranges begin or end inside.
-    covered = (
-        pieces.join(opens, ["block", "lo"])
-        .join(closes, ["block", "hi"])
-        .select(
-            "block",
-            F.explode(F.sequence("first", "last")).alias("number"),
-            F.struct("ip_start", (-F.col("ip_end")).alias("_shortest"), "location").alias("range"),
-        )
-    )
-    counted = covered.groupBy("block", "number").agg(F.max("range").alias("range"))
-    return counted.join(edges, ["block", "number"]).select(
-        "block", F.col("at").alias("lo"), "hi", "range.location"
-    )
+    return _blocks(ranges).groupBy("block.bits", "block.prefix").agg(F.max("best").alias("best"))
 
 
 def locations(df: DataFrame, ranges: DataFrame, ip_col: str = "ip") -> DataFrame:
-    """``location`` of every distinct address that lies in a range."""
-    addresses = (
-        df.select(F.col(ip_col).cast("bigint").alias("at"))
-        .where(F.col("at").isNotNull())
-        .distinct()
-        .select(
-            _block(F.col("at")).alias("block"),
-            "at",
-            F.lit(1).alias("kind"),
-            F.lit(None).cast("struct<hi:bigint,location:string>").alias("found"),
-        )
-    )
-    starts = segments(ranges).select(
-        "block", F.col("lo").alias("at"), F.lit(0).alias("kind"), F.struct("hi", "location").alias("found")
-    )
-    so_far = (
-        Window.partitionBy("block")
-        .orderBy("at", "kind")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        starts.unionByName(addresses)
-        .withColumn("found", F.last("found", ignorenulls=True).over(so_far))
-        .where((F.col("kind") == 1) & (F.col("at") <= F.col("found.hi")))
-        .select(F.col("at").alias(ip_col), "found.location")
-    )
+    """``location`` of every distinct address that lies in a range. Runs a job, to see which sizes of blocks occur."""
+    addresses = df.select(F.col(ip_col).cast("bigint").alias("at")).where(F.col("at").between(0, (1 << BITS) - 1)).distinct()
+    blocks = winners(ranges)
+    occurring = _blocks(ranges).agg(F.bit_or(F.expr("shiftleft(1L, block.bits)"))).first()[0] or 0
+    sizes = [bits for bits in range(BITS + 1) if occurring >> bits & 1]
+
+    def found(bits, side):
+        prefixes = addresses.select("at", F.explode(F.array(*[F.lit(b) for b in bits])).alias("bits"))
+        prefixes = prefixes.withColumn("prefix", F.expr("shiftright(at, bits)"))
+        return prefixes.join(side(blocks.where(F.col("bits").isin(bits))), ["bits", "prefix"]).select("at", "best")
+
+    rows = blocks.where("false").select(F.col("prefix").alias("at"), "best")
+    if narrow := [b for b in sizes if b <= WIDE]:
+        rows = found(narrow, lambda side: side)
+    if wide := [b for b in sizes if b > WIDE]:
+        rows = rows.unionByName(found(wide, F.broadcast))
+    best = rows.groupBy("at").agg(F.max("best").alias("best"))
+    return best.select(F.col("at").alias(ip_col), "best.location")
 
 
 def locate_ips(

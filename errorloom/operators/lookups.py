@@ -7,7 +7,6 @@ from errorloom.config import shared_folder
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_BYTES = 64
-SALTS = 32
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -35,18 +34,12 @@ def join_lookup(
 ) -> DataFrame:
     """Joins every row to a table with at most one row per key.
 
-    The table is measured and broadcast if it stays within the bound. Beyond it both sides are
-    shuffled, each key in ``SALTS`` parts: the rows of a key spread over as many tasks and the table's
-    row is copied to each. Adaptive execution alone would not do: it splits hot keys only where the
-    table comes straight from a shuffle of its own. A ``costly`` table is computed once.
+    The table is measured and broadcast if it stays within the bound. Beyond it both sides are shuffled by
+    the keys, and adaptive execution splits those that are hot: it reads such a partition of the rows in several tasks
+    and gives each the table's partition, so only what is hot is read more than once. For that the table has
+    to come from a shuffle of its own, hence it is written first. A ``costly`` table is written in any case.
     """
     table = cut_lineage(table) if costly else table
     if measured_bytes(table) <= max_bytes:
         return rows.join(F.broadcast(table), keys, how)
-    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))
-    every_salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
-    return (
-        rows.withColumn("_salt", salt)
-        .join(table.withColumn("_salt", every_salt), [*keys, "_salt"], how)
-        .drop("_salt")
-    )
+    return rows.join(table if costly else cut_lineage(table), keys, how)

@@ -204,6 +204,43 @@ FIXED_HASHES = f"""{REPORTS},
 marked as (select *, md5(concat(message, cast(line as varchar))) as hash from reports),
 fixed as (select distinct hash from marked where {FIXED})"""
 
+# Half of the events came in before some errors were fixed; others were deleted after all came in.
+RESOLVED = f"""{HASHED_STORED},
+marked as (
+    select *, id - 1 <= (select min(event_id) + (max(event_id) - min(event_id)) // 2 from events) as early from hashed),
+fixed as (select distinct hash from marked where early and {FIXED}),
+dropped as (select distinct hash from marked where message = 'Uncaught click failure 1' and line >= 100),
+left_over as (
+    select *, early and hash in (select hash from fixed) as is_fixed
+    from marked where hash not in (select hash from dropped))"""
+
+# Masks and the tree of templates, written out: two leading words, a fifth of a leaf's reports.
+SHAPED = f"""
+varied as (
+    select event_id + 1 as id, ts as date,
+           case event_id % 4
+               when 0 then concat('Cannot read property "p', user_id, '" of null at line ', event_id % 50)
+               when 1 then concat('Uncaught ', event_type, ' failure ', user_id % 4)
+               when 2 then concat('user name ', translate(cast(user_id as varchar), '0123456789', 'abcdefghij'),
+                                  ' was not found in ', event_type)
+               else concat('Timeout of ', {K}, ' ms while loading http://cdn.example.com/', event_type, '.js') end as message
+    from events where event_id % 11 <> 0),
+shaped as (
+    select *, row_number() over () as row, len(words) as n, array_to_string(words[1:2], ' ') as head
+    from (select *, list_filter(string_split_regex(
+              regexp_replace(regexp_replace(regexp_replace(message, '"[^"]*"', '<text>', 'g'),
+                  '[a-z]+://[^ ]+', '<url>', 'g'), '[0-9]+', '<n>', 'g'), ' +'), lambda w: w <> '') as words
+          from varied)),
+placed as (select row, n, head, unnest(range(1, len(words) + 1)) as place, unnest(words) as word from shaped),
+frequent as (
+    select n, head, place, word, count(*) as times,
+           (select count(*) from shaped s where s.n = placed.n and s.head = placed.head) as total
+    from placed group by n, head, place, word),
+filled as (
+    select p.row, string_agg(case when p.place <= 2 or f.times >= 0.2 * f.total then p.word else '<*>' end, ' ' order by p.place) as template
+    from placed p join frequent f on p.n = f.n and p.head = f.head and p.place = f.place and p.word = f.word
+    group by p.row)"""
+
 ORACLE = {
     "open_reports": _with(
         FEED,
@@ -329,12 +366,52 @@ ORACLE = {
         """select r.id, g.location from reports r
            left join ranges g on r.ip between g.ip_start and g.ip_end""",
     ),
+    "geo_enriched_nested": _with(
+        f"""{REPORTS},
+        ranges as (
+            select {fx.FIRST_IP} + (l_orderkey * 7 + l_linenumber) % 30000 as ip_start,
+                   {fx.FIRST_IP} + 65535 - (l_orderkey * 7 + l_linenumber) % 30000 as ip_end,
+                   max('order ' || l_orderkey) as location
+            from lineitem group by all),
+        best as (
+            select ip, max(ip_start) as ip_start
+            from (select distinct ip from reports) join ranges on ip between ip_start and ip_end group by ip)""",
+        """select r.id, g.location from reports r
+           left join best b on r.ip = b.ip left join ranges g on b.ip_start = g.ip_start""",
+    ),
+    "ua_chromeframe": _with(BEACONS, "select event_id, id % 5 = 0 as is_chromeframe from beacons"),
+    "message_templates": _with(
+        SHAPED,
+        """select template, count(*) as times, min(id) as first_id, max(id) as last_id, min(date) as first_report,
+                  max(date) as last_report, count(distinct message) as messages
+           from shaped join filled using (row) group by template""",
+    ),
     "ingested_reports": _with(
         FROM_EMPTY, "select id, file, line, message, browser, status, date, ip, platform from stored"
     ),
     "ingested_browsers": _with(FROM_EMPTY, "select id, type, version, date from fresh"),
     "written_reports": _with(FROM_EMPTY, VERSIONS.format(source="stored")),
     "stream_equals_batch": _with(HASHED_STORED, MESSAGE_SUMMARY.format(source="hashed")),
+    "compacted_summary": _with(HASHED_STORED, MESSAGE_SUMMARY.format(source="hashed")),
+    "compacted_reports": _with(
+        FROM_EMPTY, "select id, file, line, message, browser, status, date, ip, platform from stored"
+    ),
+    "load_then_stream": _with(HASHED_STORED, MESSAGE_SUMMARY.format(source="hashed")),
+    "ingest_outcomes": _with(
+        f"{ADDRESSED}, {SIGNED}",
+        """select a.id, case when len(distinct_quads) <> 1 then 'ip' when a.id % 7 = 0 then 'keyword'
+                            when c.event_id % 6 = 0 or cr <> expected then 'signature' else 'accepted' end as outcome
+           from addressed a join codes c on a.id = c.id""",
+    ),
+    "feed_after_resolve": _with(
+        RESOLVED, "select id, cast(case when is_fixed then 1 else 0 end as int) as status from left_over"
+    ),
+    "running_after_resolve": _with(
+        f"{RESOLVED}, open as (select * from left_over where not is_fixed)", MESSAGE_SUMMARY.format(source="open")
+    ),
+    "compacted_after_resolve": _with(
+        f"{RESOLVED}, open as (select * from left_over where not is_fixed)", SCRIPT_SUMMARY.format(source="open")
+    ),
     "live_messages": _with(
         HASHED_STORED,
         f"select * exclude (first_hour, last_hour) from ({MESSAGE_SUMMARY.format(source='hashed')})",
@@ -371,3 +448,5 @@ ORACLE = {
            from feed group by all""",
     ),
 }
+
+ORACLE["exported_feed"] = ORACLE["feed_json"]

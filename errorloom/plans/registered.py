@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from errorloom import fixtures as fx
 from errorloom.config import Config, shared_folder
 from errorloom.functions import request, text, times, useragent
-from errorloom.operators import agents, beacons, browsers, feed, geo, manage, summaries
+from errorloom.operators import agents, beacons, browsers, feed, geo, manage, summaries, templates
 from errorloom.operators.tallies import tally
-from errorloom.plans import ingest, reporting
+from errorloom.plans import compaction, ingest, reporting, resolving
 from errorloom.sources.tables import location, read_table
 from errorloom.streaming import live
 from errorloom.streaming.ingest import start_stream
@@ -109,6 +109,17 @@ def script_summary(spark, sf_dir):
     return summaries.script_summary(tally(_reports(spark, sf_dir), "file"))
 
 
+def message_templates(spark, sf_dir):
+    return templates.message_templates(tally(fx.varied_reports(fx.events(spark, sf_dir)), "message"))
+
+
+def exported_feed(spark, sf_dir):
+    path = _scratch(spark)
+    feed.export_json(_plain_feed(spark, sf_dir), path)
+    lines = spark.read.text(path)
+    return lines.select(F.get_json_object("value", "$.id").cast("bigint").alias("id"), F.col("value").alias("json"))
+
+
 def script_details(spark, sf_dir):
     return summaries.script_details(_reports(spark, sf_dir), fx.browsers(spark), FILE)
 
@@ -205,6 +216,17 @@ def geo_enriched(spark, sf_dir):
     return located.select("id", "location")
 
 
+def geo_enriched_nested(spark, sf_dir):
+    located = geo.locate_ips(_reports(spark, sf_dir), fx.nested_ranges(spark, sf_dir))
+    return located.select("id", "location")
+
+
+def ua_chromeframe(spark, sf_dir):
+    agent = F.when(F.col("id") % 5 == 0, F.concat("user_agent", F.lit(" chromeframe/1.0"))).otherwise(F.col("user_agent"))
+    rows = agents.enrich_user_agents(_raw(spark, sf_dir).withColumn("user_agent", agent))
+    return rows.select((F.col("id") - 1).alias("event_id"), "is_chromeframe")
+
+
 # --- ingest, at rest and on arrival -----------------------------------------------------------
 
 
@@ -237,13 +259,40 @@ def stream_equals_batch(spark, sf_dir):
     return reporting.running_summaries(spark, config)["message_summary"]
 
 
+def _ingested_in_slices(spark, sf_dir, count, compact_at):
+    config = Config(write_uri=_scratch(spark), compact_at=compact_at)
+    for number, rows in enumerate(fx.event_slices(fx.events(spark, sf_dir), count)):
+        ingest.run_batch(fx.raw_beacons(rows), config, number)
+    return config
+
+
+def compacted_summary(spark, sf_dir):
+    config = _ingested_in_slices(spark, sf_dir, 6, compact_at=2)
+    return reporting.running_summaries(spark, config)["message_summary"]
+
+
+def compacted_reports(spark, sf_dir):
+    config = _ingested_in_slices(spark, sf_dir, 3, compact_at=2)
+    return read_table(spark, config.write_uri, "reports").drop("day", "batch_id")
+
+
+def load_then_stream(spark, sf_dir):
+    config = Config(write_uri=_scratch(spark), compact_at=2)
+    first, *rest = fx.event_slices(fx.events(spark, sf_dir), 5)
+    ingest.run_batch(fx.raw_beacons(first), config, 0)
+    raw = fx.raw_beacons(fx.arriving_events(rest, _scratch(spark)))
+    start_stream(raw, config, _scratch(spark), {"availableNow": True}).awaitTermination()
+    return reporting.running_summaries(spark, config)["message_summary"]
+
+
 def _live(spark, sf_dir, summarise, *keys, mode="update"):
     path = _scratch(spark)
-    feed_rows = live.live_feed(fx.raw_beacons(fx.stream_events(spark, sf_dir)))
+    slices = fx.event_slices(fx.events(spark, sf_dir), 4)
+    feed_rows = live.live_feed(fx.raw_beacons(fx.arriving_events(slices, _scratch(spark))))
     live.start_live(
-        summarise(feed_rows), path, _scratch(spark), mode, {"availableNow": True}
+        summarise(feed_rows), path, _scratch(spark), keys, {"availableNow": True}, mode, fan=2
     ).awaitTermination()
-    return live.current(spark.read.parquet(path), *keys)
+    return live.current(spark, path, *keys)
 
 
 def live_messages(spark, sf_dir):
@@ -251,13 +300,55 @@ def live_messages(spark, sf_dir):
 
 
 def live_browsers(spark, sf_dir):
-    return _live(spark, sf_dir, live.live_browser_summary, "type", mode="complete")
+    return live.browser_summary(_live(spark, sf_dir, live.live_browser_versions, "type", "version_key"))
 
 
 def live_scripts(spark, sf_dir):
     return _live(spark, sf_dir, live.live_script_summary, "file", mode="complete")
 
 
+def ingest_outcomes(spark, sf_dir):
+    config = Config(write_uri=_scratch(spark), multi_ip="reject", screen_keywords=True, require_signature=True)
+    ingest.run_batch(fx.outcome_requests(fx.events(spark, sf_dir)), config, batch_id=0)
+    rejected = read_table(spark, config.write_uri, "rejects").select("id", F.col("reject_reason").alias("outcome"))
+    return rejected.union(read_table(spark, config.write_uri, "reports").select("id", F.lit("accepted")))
+
+
+def _partly_resolved(spark, sf_dir):
+    """Errors fixed after half of the events came in, others deleted after all did, then parts merged."""
+    config = Config(write_uri=_scratch(spark), compact_at=0)
+    first, second = fx.event_slices(fx.events(spark, sf_dir), 2)
+    ingest.run_batch(fx.raw_beacons(first), config, 0)
+    known = resolving.stored(spark, config.write_uri, "reports")
+    resolving.resolve_stored(spark, config, fx.fixed_hashes(known), fx.AS_OF)
+    ingest.run_batch(fx.raw_beacons(second), config, 1)
+    known = resolving.stored(spark, config.write_uri, "reports")
+    resolving.resolve_stored(spark, config, fx.dropped_hashes(known), fx.AS_OF, resolving.DELETED)
+    return config
+
+
+def feed_after_resolve(spark, sf_dir):
+    config = _partly_resolved(spark, sf_dir)
+    return resolving.stored(spark, config.write_uri, "reports").select("id", "status")
+
+
+def running_after_resolve(spark, sf_dir):
+    config = _partly_resolved(spark, sf_dir)
+    return reporting.running_summaries(spark, config)["message_summary"]
+
+
+def compacted_after_resolve(spark, sf_dir):
+    config = _partly_resolved(spark, sf_dir)
+    compaction.compact(spark, _with_third_batch(spark, config).write_uri, fan=2)
+    return reporting.running_summaries(spark, config)["script_summary"]
+
+
+def _with_third_batch(spark, config):
+    """An empty batch, which makes the two before it old enough to merge."""
+    ingest.run_batch(fx.raw_beacons(spark.createDataFrame([], fx.EVENTS)), config, 2)
+    return config
+
+
 # --- looking after known errors ---------------------------------------------------------------
 
 
@@ -314,6 +405,8 @@ QUERIES = {
         browser_by_name,
         script_summary,
         script_details,
+        message_templates,
+        exported_feed,
         decoded_beacons,
         encoded_beacons,
         client_ip,
@@ -325,14 +418,23 @@ QUERIES = {
         ua_type,
         ua_platform,
         ua_flags,
+        ua_chromeframe,
         ua_rules_by_row,
         new_browsers,
         facts_with_browser_id,
         geo_enriched,
+        geo_enriched_nested,
         ingested_reports,
         ingested_browsers,
         written_reports,
         stream_equals_batch,
+        compacted_summary,
+        compacted_reports,
+        load_then_stream,
+        ingest_outcomes,
+        feed_after_resolve,
+        running_after_resolve,
+        compacted_after_resolve,
         live_messages,
         live_browsers,
         live_scripts,

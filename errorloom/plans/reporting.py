@@ -10,6 +10,8 @@ from errorloom.operators.summaries import (
     script_summary,
 )
 from errorloom.operators.tallies import tally
+from errorloom.plans.resolving import stored
+from errorloom.sources.log import Log
 from errorloom.sources.tables import location, read_table, write_batch
 
 
@@ -29,10 +31,11 @@ def write_reports(spark: SparkSession, config: Config, out_uri: str) -> None:
     safe from lost executors.
     """
     snapshot = f"{out_uri.rstrip('/')}/snapshot"
-    reports = read_table(spark, config.reports_from, "reports")
+    manifest = Log(spark, config.reports_from).latest()
+    reports = stored(spark, config.reports_from, "reports", manifest)
     write_batch(tally(reports), snapshot, "tallies", batch_id=0)
     tallies = read_table(spark, snapshot, "tallies")
-    browsers = read_table(spark, config.reports_from, "browsers")
+    browsers = read_table(spark, config.reports_from, "browsers", manifest=manifest)
     for name, summary in summaries(tallies, browsers).items():
         summary.write.mode("overwrite").parquet(location(out_uri, name))
 
@@ -40,8 +43,8 @@ def write_reports(spark: SparkSession, config: Config, out_uri: str) -> None:
 def running_summaries(spark: SparkSession, config: Config) -> dict:
     """The summaries as of the last ingested batch, without reading reports.
 
-    Merges the tallies that every batch left behind. They count reports as they came in: after
-    reports were resolved, use ``write_reports``.
+    Adds up the tallies that batches left behind and compaction merged, without what was resolved since.
     """
-    tallies = read_table(spark, config.reports_from, "tallies")
-    return summaries(tallies, read_table(spark, config.reports_from, "browsers"))
+    manifest = Log(spark, config.reports_from).latest()
+    tallies = stored(spark, config.reports_from, "tallies", manifest)
+    return summaries(tallies, read_table(spark, config.reports_from, "browsers", manifest=manifest))

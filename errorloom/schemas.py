@@ -57,6 +57,36 @@ REJECTS = _table(
     ("reject_reason", StringType(), True),
 )
 
+# What the rules made of each user agent, and which rules they were.
+AGENTS = _table(
+    ("user_agent", StringType(), False),
+    ("type", StringType(), True),
+    ("version", StringType(), True),
+    ("platform", StringType(), True),
+    ("rules", StringType(), False),
+)
+
+# Fingerprints that were fixed or deleted. ``through`` is the version up to which that goes, null until parts are
+# merged: then it is the version that committed the part.
+RESOLUTIONS = _table(
+    ("hash", StringType(), False),
+    ("action", StringType(), False),
+    ("through", LongType(), True),
+    ("date", TimestampNTZType(), True),
+)
+
+# Triaged and decoded requests of one batch, while it is being written.
+STAGED = _table(
+    ("id", LongType(), False),
+    ("received_at", TimestampNTZType(), True),
+    ("ip", LongType(), True),
+    ("reject_reason", StringType(), True),
+    ("user_agent", StringType(), True),
+    ("message", StringType(), True),
+    ("file", StringType(), True),
+    ("line", IntegerType(), True),
+)
+
 # Partial counts of open reports, see ``operators.tallies``.
 TALLIES = _table(
     ("message", StringType(), True),

@@ -1,11 +1,11 @@
 """Ingesting requests as they arrive."""
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from errorloom.config import Config
 from errorloom.plans.ingest import run_batch
+from errorloom.sources.tables import SealedBatch
 
 
 # Micro-batches are numbered from here, so that a stream never takes the place of batches loaded before.
@@ -24,12 +24,10 @@ def start_stream(
     """
 
     def ingest(batch, batch_id):
-        # Three writes read the batch; lost blocks are read from the source again.
-        batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             run_batch(batch, config, first_batch + batch_id)
-        finally:
-            batch.unpersist()
+        except SealedBatch:
+            pass  # committed, and merged with others, before the stream could note that it was done
 
     return (
         raw.writeStream.foreachBatch(ingest)

@@ -1,7 +1,9 @@
 import random
 
 from builders import reports
-from errorloom.operators.geo import locate_ips, segments
+from pyspark.sql import functions as F
+
+from errorloom.operators.geo import aligned_blocks, locate_ips, winners
 
 
 def ranges(spark, *rows):
@@ -59,12 +61,38 @@ def test_overlapping_ranges_same_as_brute_force(spark):
     assert located(spark, addresses, ranges(spark, *table)) == {ip: best(ip) for ip in addresses}
 
 
-def test_segments_do_not_overlap(spark):
-    table = ranges(spark, (1, 100, "a"), (50, 60, "b"), (55, 200, "c"), (65_000, 70_000, "d"))
-    rows = sorted((row.lo, row.hi, row.location) for row in segments(table).collect())
-    assert all(before[1] < after[0] for before, after in zip(rows, rows[1:]))
-    # Between edges the location is constant; equal neighbours stay apart.
-    assert rows == [
-        (1, 49, "a"), (50, 54, "b"), (55, 60, "c"), (61, 100, "c"), (101, 200, "c"),
-        (65_000, 65_535, "d"), (65_536, 70_000, "d"),
-    ]
+def blocks_of(spark, *pairs):
+    rows = spark.createDataFrame(list(pairs), "s bigint, e bigint").select("s", "e", aligned_blocks(F.col("s"), F.col("e")).alias("b"))
+    return {(r.s, r.e): [(b.bits, b.prefix) for b in r.b] for r in rows.collect()}
+
+
+def test_blocks_cover_a_range_exactly(spark):
+    rng = random.Random(3)
+    pairs = {(s, s + rng.choice((0, 1, 5, 77, 1000))) for s in (rng.randrange(3_000) for _ in range(150))}
+    for (start, end), blocks in blocks_of(spark, *pairs).items():
+        held = sorted(a for bits, prefix in blocks for a in range(prefix << bits, (prefix + 1) << bits))
+        assert held == list(range(start, end + 1))
+        sizes = [bits for bits, _ in blocks]
+        assert all(sizes.count(bits) <= 2 for bits in sizes)
+    top = 2**32 - 1
+    found = blocks_of(spark, (0, top), (1, top), (top, top), (0, top - 1))
+    assert found[0, top] == [(32, 0)] and found[top, top] == [(0, top)]
+    assert len(found[1, top]) == len(found[0, top - 1]) == 32
+
+
+def test_nested_ranges_cost_rows_in_proportion(spark):
+    """200,000 ranges of one block of addresses, each within the one before."""
+    nested = spark.range(200_000).selectExpr("id % 32768 as d", "id").selectExpr(
+        "d as ip_start", "65535 - d as ip_end", "concat('r', id) as location")
+    best = winners(nested)
+    # One row per block of addresses that some range has, whatever the number of ranges.
+    assert best.count() <= 2 * 65_536
+    got = located(spark, [0, 5, 32_767, 32_768, 65_535, 65_536], nested)
+    ids = {ip: max(f"r{i}" for i in range(200_000) if i % 32_768 == min(ip, 65_535 - ip)) for ip in (0, 5, 32_767, 32_768, 65_535)}
+    assert got == ids | {65_536: None}
+
+
+def test_awkward_ranges(spark):
+    table = ranges(spark, (None, 5, "no start"), (3, None, "no end"), (-10, 2, "before"), (2**32 - 2, 2**33, "after"), (7, 7, None), (2**33, 2**34, "far"))
+    assert located(spark, [0, 2, 3, 7, 2**32 - 1], table) == {0: "before", 2: "before", 3: None, 7: None, 2**32 - 1: "after"}
+    assert located(spark, [4, None], table.where("false")) == {4: None, None: None}

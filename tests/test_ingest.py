@@ -14,6 +14,7 @@ from errorloom.operators.lookups import cut_lineage
 from errorloom.plans import ingest, reporting
 from errorloom.sources import beacons as sources
 from errorloom.sources import jdbc
+from errorloom.sources.log import Log, runs
 from errorloom.sources.tables import read_table, write_batch
 from errorloom.streaming import live
 from errorloom.streaming.ingest import start_stream
@@ -167,17 +168,20 @@ def test_stream_equals_batch(spark, requests, expected, tmp_path):
 @pytest.mark.parametrize("mode", ["update", "complete"])
 def test_live_summaries_follow_the_files(spark, requests, expected, tmp_path, mode):
     source = str(tmp_path / "in")
-    write_files(requests, source, 3)
+    write_files(requests, source, 5)
     summaries = reporting.running_summaries(spark, Config(write_uri=expected[1]))
-    for name, summarise, key in (
-        ("message_summary", live.live_message_summary, "hash"),
-        ("browser_summary", live.live_browser_summary, "type"),
-        ("script_summary", live.live_script_summary, "file"),
+    for name, summarise, keys, roll_up in (
+        ("message_summary", live.live_message_summary, ["hash"], lambda rows: rows),
+        ("browser_summary", live.live_browser_versions, ["type", "version_key"], live.browser_summary),
+        ("script_summary", live.live_script_summary, ["file"], lambda rows: rows),
     ):
         feed = live.live_feed(sources.stream_beacons(spark, source, maxFilesPerTrigger=1))
         out = str(tmp_path / name)
-        live.start_live(summarise(feed), out, str(tmp_path / f"cp-{name}"), mode, NOW).awaitTermination()
-        got = live.current(spark.read.parquet(out), key)
+        live.start_live(summarise(feed), out, str(tmp_path / f"cp-{name}"), keys, NOW, mode, fan=2).awaitTermination()
+        manifest = Log(spark, out).latest()
+        assert runs(run for part in manifest.parts for run in part.batches) in ([((0, 4),)] if mode == "update" else [((4, 4),)])
+        assert len(manifest.parts) <= 3
+        got = roll_up(live.current(spark, out, *keys))
         batch = summaries[name].select(*got.columns)
         assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
 
