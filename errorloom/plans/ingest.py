@@ -36,10 +36,13 @@ def with_outcome(agents: DataFrame, known: DataFrame) -> DataFrame:
     """
     names = ["type", "version", "platform"]
     dictionary = known.where(F.col("rules") == rules_version()).select("user_agent", F.struct(*names).alias("_known"))
-    looked_up = agents.join(dictionary, "user_agent", "left")
+    looked_up = cut_lineage(agents.join(dictionary, "user_agent", "left"))
     old = looked_up.where("_known is not null").select(*agents.columns, "_known.*", F.lit(False).alias("fresh"))
-    new = apply_rules(looked_up.where("_known is null").drop("_known"))
-    return old.unionByName(new.select(*agents.columns, *names, F.lit(True).alias("fresh")))
+    unseen = looked_up.where("_known is null").drop("_known")
+    if unseen.isEmpty():
+        return old
+    new = apply_rules(unseen).select(*agents.columns, *names, F.lit(True).alias("fresh"))
+    return cut_lineage(old.unionByName(new))
 
 
 def to_reports(
@@ -97,7 +100,7 @@ def run_batch(raw: DataFrame, config: Config, batch_id: int) -> None:
     events = staged.where("reject_reason is null")
 
     dictionary = read_table(spark, uri, "agents", before_batch=batch_id, missing_ok=True, manifest=base)
-    agents = cut_lineage(with_outcome(agents_seen(events), dictionary))
+    agents = with_outcome(agents_seen(events), dictionary)
     known = read_table(spark, uri, "browsers", before_batch=batch_id, missing_ok=True, manifest=base)
     # Rows brought in from elsewhere sit under a negative batch; event ids start above theirs, so
     # the ids of all other rows are unique as the event ids are.

@@ -267,7 +267,7 @@ def _ingested_in_slices(spark, sf_dir, count, compact_at):
 
 
 def compacted_summary(spark, sf_dir):
-    config = _ingested_in_slices(spark, sf_dir, 6, compact_at=2)
+    config = _ingested_in_slices(spark, sf_dir, 4, compact_at=2)
     return reporting.running_summaries(spark, config)["message_summary"]
 
 
@@ -278,7 +278,7 @@ def compacted_reports(spark, sf_dir):
 
 def load_then_stream(spark, sf_dir):
     config = Config(write_uri=_scratch(spark), compact_at=2)
-    first, *rest = fx.event_slices(fx.events(spark, sf_dir), 5)
+    first, *rest = fx.event_slices(fx.events(spark, sf_dir), 4)
     ingest.run_batch(fx.raw_beacons(first), config, 0)
     raw = fx.raw_beacons(fx.arriving_events(rest, _scratch(spark)))
     start_stream(raw, config, _scratch(spark), {"availableNow": True}).awaitTermination()
