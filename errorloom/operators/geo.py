@@ -11,57 +11,67 @@ Blocks of more than 2^16 addresses are at most 2^16 in number for each size; the
 hold many addresses. A smaller block holds at most 2^16 distinct addresses, so no key of the shuffled join is hot.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from errorloom.operators.lookups import BROADCAST_BYTES, join_lookup
 
 BITS = 32
+LAST = (1 << BITS) - 1  # the last address
 WIDE = 16  # blocks of more than 2^WIDE addresses are broadcast: fewer than 2^(BITS - WIDE) of them in all
 
 
-def aligned_blocks(start: Column, end: Column) -> Column:
-    """The blocks that make up start..end, as an array of (bits, prefix): ``2^bits`` addresses from ``prefix << bits``.
+def aligned_blocks(ranges: DataFrame) -> DataFrame:
+    """Every range start..end with each of its blocks: ``2^bits`` addresses from ``prefix << bits``.
 
     On each size the part of the range that whole blocks of it cover has an odd block at its left end or at its right
-    end that no larger block takes.
+    end that no larger block takes. Sizes beyond the range's own are not tried.
+    """
+    one = F.lit(1).cast("bigint")
+    odd = lambda n: n.bitwiseAND(one) == 1
+    first, stop = F.col("_first"), F.col("_stop")
+    sizes = F.sequence(F.lit(0), F.length(F.bin(F.col("end") - F.col("start") + 1)) - 1)
+    return (
+        ranges.withColumn("bits", F.explode(sizes))
+        .withColumns({"_first": F.expr("shiftright(start + shiftleft(1L, bits) - 1, bits)"), "_stop": F.expr("shiftright(end + 1, bits)")})
+        .where(first < stop)
+        .withColumn("prefix", F.explode(F.array(F.when(odd(first), first), F.when(odd(stop), stop - 1))))
+        .where("prefix is not null")
+        .drop("_first", "_stop")
+    )
+
+
+def distinct_ranges(ranges: DataFrame) -> DataFrame:
+    """start, end, location and ``rank`` of every range within the address space, each once.
+
+    The greater rank counts where ranges overlap: the one that starts last; of those, the shortest. It is a number, so
+    that ranges are compared without their locations. Of ranges with equal ends the greatest location counts. Ranges that end
+    before they start, or have a null end, hold nothing; what lies beyond the address space is cut off.
     """
-
-    def of_size(bits):
-        first = F.ceil(start / F.shiftleft(F.lit(1).cast("bigint"), bits)).cast("bigint")
-        stop = F.shiftright(end + 1, bits)
-        odd = lambda n: n.bitwiseAND(F.lit(1).cast("bigint")) == 1
-        block = lambda n: F.struct(F.lit(bits).alias("bits"), n.cast("bigint").alias("prefix"))
-        some = first < stop
-        return F.array(F.when(some & odd(first), block(first)), F.when(some & odd(stop), block(stop - 1)))
-
-    return F.array_compact(F.concat(*[of_size(bits) for bits in range(BITS + 1)]))
-
-
-def _blocks(ranges: DataFrame) -> DataFrame:
-    """Every range with each of its blocks."""
-    start, end = F.greatest("ip_start", F.lit(0)), F.least("ip_end", F.lit((1 << BITS) - 1))
-    best = F.struct("ip_start", (-F.col("ip_end")).alias("_shortest"), "location")
     rows = ranges.where("ip_start <= ip_end").select(
-        best.alias("best"), start.cast("bigint").alias("_start"), end.cast("bigint").alias("_end")
-    ).where("_start <= _end")
-    return rows.select("best", F.explode(aligned_blocks(F.col("_start"), F.col("_end"))).alias("block"))
-
+        F.greatest("ip_start", F.lit(0)).cast("bigint").alias("start"),
+        F.least("ip_end", F.lit(LAST)).cast("bigint").alias("end"),
+        "location",
+    )
+    named = rows.where("start <= end").groupBy("start", "end").agg(F.max("location").alias("location"))
+    rank = F.shiftleft(F.col("start") - (1 << BITS - 1), BITS) + (F.lit(LAST) - F.col("end"))
+    return named.withColumn("rank", rank)
 
-def winners(ranges: DataFrame) -> DataFrame:
-    """bits, prefix and ``best``, the range that counts in the block: the one that starts last; of those, the shortest.
 
-    Of equal ranges the greatest location counts. Ranges that end before they start, or have a null end, hold nothing; what lies
-    beyond the address space is cut off.
-    """
-    return _blocks(ranges).groupBy("block.bits", "block.prefix").agg(F.max("best").alias("best"))
+def winners(distinct: DataFrame) -> DataFrame:
+    """The greatest rank (``best``) of every block, named by bits and prefix, that some of the distinct ranges has."""
+    return aligned_blocks(distinct.select("start", "end", "rank")).groupBy("bits", "prefix").agg(F.max("rank").alias("best"))
 
 
 def locations(df: DataFrame, ranges: DataFrame, ip_col: str = "ip") -> DataFrame:
     """``location`` of every distinct address that lies in a range. Runs a job, to see which sizes of blocks occur."""
-    addresses = df.select(F.col(ip_col).cast("bigint").alias("at")).where(F.col("at").between(0, (1 << BITS) - 1)).distinct()
-    blocks = winners(ranges)
-    occurring = _blocks(ranges).agg(F.bit_or(F.expr("shiftleft(1L, block.bits)"))).first()[0] or 0
+    addresses = df.select(F.col(ip_col).cast("bigint").alias("at")).where(F.col("at").between(0, LAST)).distinct()
+    distinct = distinct_ranges(ranges)
+    blocks = winners(distinct)
+    spans = ranges.where("ip_start <= ip_end").select(
+        F.greatest("ip_start", F.lit(0)).cast("bigint").alias("start"), F.least("ip_end", F.lit(LAST)).cast("bigint").alias("end")
+    ).where("start <= end")
+    occurring = aligned_blocks(spans).agg(F.bit_or(F.expr("shiftleft(1L, bits)"))).first()[0] or 0
     sizes = [bits for bits in range(BITS + 1) if occurring >> bits & 1]
 
     def found(bits, side):
@@ -74,8 +84,8 @@ def locations(df: DataFrame, ranges: DataFrame, ip_col: str = "ip") -> DataFrame
         rows = found(narrow, lambda side: side)
     if wide := [b for b in sizes if b > WIDE]:
         rows = rows.unionByName(found(wide, F.broadcast))
-    best = rows.groupBy("at").agg(F.max("best").alias("best"))
-    return best.select(F.col("at").alias(ip_col), "best.location")
+    best = rows.groupBy("at").agg(F.max("best").alias("rank"))
+    return best.join(distinct.select("rank", "location"), "rank").select(F.col("at").alias(ip_col), "location")
 
 
 def locate_ips(
