@@ -12,7 +12,9 @@ def drop_toxic(spark, docs, sf_dir):
     model = toxicity.train(
         docs.select("doc_id", "text"), read(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0
     )
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    # Apart from the score's columns, whose names the documents may have too.
+    whole = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_doc")
+    return toxicity.score(docs.select(whole, "text"), model).where("predicted = 0").select("_doc.*")
 
 
 def drop_copies(spark, docs, sf_dir):

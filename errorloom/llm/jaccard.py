@@ -39,6 +39,7 @@ FILTER = 1 << 24
 SALTS = 64
 BLOCK = 4096
 HASH_BITS = 50
+TEXTS = 1 << 13
 CHUNK = 2 << 20
 SHARP = 1 << 13
 
@@ -46,9 +47,14 @@ SHARP = 1 << 13
 def shingle_sets(texts: pa.Array, size: int = WORDS):
     """The sorted distinct shingle hashes of each text, and where each text's begin, with the end last.
 
-    Texts with fewer words than a shingle have the whole sequence as one, texts without words have none. At
-    most 16,383 texts at a time.
+    Texts with fewer words than a shingle have the whole sequence as one, texts without words have none. The number of
+    a text takes 14 bits beside the hash, so more texts are done in turns.
     """
+    if len(texts) > TEXTS:
+        parts = [shingle_sets(texts.slice(at, TEXTS), size) for at in range(0, len(texts), TEXTS)]
+        before = np.cumsum([0, *(len(hashes) for hashes, _ in parts)])
+        ends = [ends[:-1] + start.astype(ends.dtype) for (_, ends), start in zip(parts, before)]
+        return np.concatenate([hashes for hashes, _ in parts]), np.append(np.concatenate(ends), before[-1])
     hashes, bounds = words(texts)
     count = np.diff(bounds)
     doc = np.repeat(np.arange(len(texts)), count)
@@ -454,7 +460,5 @@ def one_per_group(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """The rows of ``docs`` whose id names their group, and rows without an id. Of repeated rows all stay."""
     gone = stored(groups(docs, id_column, text_column).where("doc_id <> component_id").select("doc_id"), "gone")
     suspect = F.coalesce(maybe_in(gone, "doc_id")(F.col(f"`{id_column}`").cast("bigint")), F.lit(False))
-    marked = docs.withColumn("_suspect", suspect)
-    kept = marked.where("not _suspect").drop("_suspect")
-    checked = marked.where("_suspect").drop("_suspect")
-    return kept.unionByName(checked.join(gone, checked[id_column] == gone["doc_id"], "left_anti"))
+    checked = docs.where(suspect)
+    return docs.where(~suspect).union(checked.join(gone, checked[f"`{id_column}`"] == gone["doc_id"], "left_anti"))

@@ -150,7 +150,7 @@ def mix(docs: DataFrame, size: Column, id_column: str = "doc_id", source_column:
 
 def take(docs: DataFrame, size: Column, **options) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as the mix takes it."""
-    mixed = mix(docs.select(F.struct(*docs.columns).alias("_doc"),
+    mixed = mix(docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_doc"),
                             F.col(options.pop("id_column", "doc_id")).alias("doc_id"),
                             F.col(options.pop("source_column", "source")).alias("source"),
                             size.alias("_size")), F.col("_size"), **options)

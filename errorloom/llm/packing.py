@@ -127,9 +127,12 @@ def sweeps(counts: dict, most: int = SEQUENCE) -> list:
 def pack(pieces: DataFrame, most: int = SEQUENCE) -> DataFrame:
     """All rows with ``sequence_id`` and ``offset``.
 
-    ``length`` must lie between 1 and ``most``. Other columns are free; equal rows get different places.
+    ``length`` must lie between 1 and ``most``. Columns named like the added ones are replaced, others are free; equal rows
+    get different places. An empty table gives an empty one.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset")
+    own = [F.col(f"`{name}`") for name in pieces.columns]
     part = F.pmod(F.xxhash64(*[c for c in ("doc_id", "piece") if c in pieces.columns], "length"),
                   F.lit(tasks(spark))).cast("int")
     rows = pieces.withColumn("_part", part)
@@ -150,7 +153,7 @@ def pack(pieces: DataFrame, most: int = SEQUENCE) -> DataFrame:
         rows.withColumn("_place", place)
         .join(starts.drop("_n"), ["length", "_part"])
         .withColumn("_rank", F.col("_place") + F.col("_before"))
-        .select(*pieces.columns, "_rank")
+        .select(*own, "_rank")
     )
 
     @F.pandas_udf("sequence_id bigint, offset bigint")
@@ -161,7 +164,7 @@ def pack(pieces: DataFrame, most: int = SEQUENCE) -> DataFrame:
         return pd.DataFrame({"sequence_id": sequence[run] + j // per[run],
                              "offset": offset[run] + j % per[run] * length[run]})
 
-    return ranked.withColumn("_at", located("length", "_rank")).select(*pieces.columns, "_at.*")
+    return ranked.withColumn("_at", located("length", "_rank")).select(*own, "_at.*")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -130,9 +130,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "d
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(bins, pa.int32()))
             yield pa.RecordBatch.from_arrays([lists, batch.column(1), batch.column(2)], ["bins", "label", "order"])
 
+    docs = docs.select(F.col(f"`{id_column}`").alias(id_column), F.col(f"`{text_column}`").alias("_text"))  # names may clash
     rows = (
         training_rows(docs, labels, learn, id_column, label_column, most)
-        .select(F.col(f"`{text_column}`").cast("string"), "label", F.xxhash64("_id").alias("order"))
+        .select(F.col("_text").cast("string"), "label", F.xxhash64("_id").alias("order"))
         .mapInArrow(seen, "bins array<int>, label int, order bigint")
         .toArrow()
         .sort_by([("order", "ascending")])
