@@ -441,6 +441,9 @@ ORACLE = {
                   array_to_string(list_sort(list(distinct browser_id)), ',') as browsers
            from feed group by hash""",
     ),
+    "message_browser_counts": _with(
+        FEED, "select hash, count(distinct browser_id) as browsers, count(*) as times from feed group by hash"
+    ),
     "strict_fingerprint": _with(
         FEED,
         """select md5(file || chr(1) || line || chr(1) || message) as hash, file, line, message,

@@ -382,6 +382,13 @@ def message_browsers(spark, sf_dir):
     return manage.message_browsers(tally(_reports(spark, sf_dir), "message", "line", "browser"))
 
 
+def message_browser_counts(spark, sf_dir):
+    tallies = tally(_reports(spark, sf_dir), "message", "line", "browser")
+    # Reports name a browser that the dimension does not have: it is numbered too.
+    known = fx.browsers(spark).select("id").union(tallies.select("browser"))
+    return manage.affected_counts(manage.affected_browsers(tallies, manage.number_browsers(known)))
+
+
 def strict_fingerprint(spark, sf_dir):
     return manage.strict_messages(_reports(spark, sf_dir))
 
@@ -445,6 +452,7 @@ QUERIES = {
         affected_by_ip,
         daily_digest,
         message_browsers,
+        message_browser_counts,
         strict_fingerprint,
     )
 }
