@@ -1,6 +1,7 @@
 """Helpers that the operators share."""
 
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -13,14 +14,61 @@ from pyspark.sql import functions as F
 from errorloom.config import shared_folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class _Open(threading.local):
+    def __init__(self):
+        self.scopes = []
+
+
+_open = _Open()
+
+
+class Scratch:
+    """The tables that ``stored`` makes within a ``with`` of it, for removal once nothing reads them any more."""
+
+    def __init__(self, spark, at_end: bool = False):
+        self.spark, self.at_end, self.paths = spark, at_end, []
+
+    def __enter__(self):
+        _open.scopes.append(self)
+        return self
+
+    def __exit__(self, *failure):
+        _open.scopes.remove(self)
+        if self.at_end:
+            self.remove()
+
+    def remove(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        while self.paths:
+            folder = jvm.org.apache.hadoop.fs.Path(self.paths.pop()).getParent()
+            folder.getFileSystem(conf).delete(folder, True)
+
+
+def scratch(spark) -> Scratch:
+    """A ``with`` at whose end the tables stored within are gone, but for those that are ``kept``."""
+    return Scratch(spark, at_end=True)
+
+
+def stored(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     """The rows written to the cluster's shared folder and read back: lineage ends here.
 
-    Losing an executor afterwards loses nothing, and reading twice computes nothing twice.
+    Losing an executor afterwards loses nothing, and reading twice computes nothing twice. Shuffle files of the
+    write go with its end. A table that is ``kept`` belongs to the scratch around the innermost, if there is one.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    owners = _open.scopes[:-1] if kept else _open.scopes
+    if owners:
+        owners[-1].paths.append(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,7 +13,8 @@ Exact for every link between different sets, and linear where documents resemble
    hold a bitmap of a set's shingles and its size, inner nodes the OR of their bitmaps, the range of sizes and
    the most shingles that share a bit, and the nodes below the root are the components. A dual traversal
    descends only into pairs of nodes whose greatest possible overlap can still make a link. Blocks of
-   more than ``BLOCK`` sets are dealt to tasks as pairs of parts.
+   more than ``BLOCK`` sets are dealt to tasks as pairs of parts. A pair that shares several blocks comes out of the
+   first: rows carry the first ``EARLY`` blocks of their set, and a pair with an earlier block in common is left to it.
 5. Survivors are compared shingle by shingle.
 
 Which shingles count as frequent, and the salts, only decide who is compared first, never the result.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from errorloom.llm.common import maybe_in, stored
+from errorloom.llm.common import maybe_in, scratch, stored
 from errorloom.llm.graph import components
 from errorloom.llm.wordscan import chunks, mix64, words
 
@@ -42,6 +43,7 @@ HASH_BITS = 50
 TEXTS = 1 << 13
 CHUNK = 2 << 20
 SHARP = 1 << 13
+EARLY = 8  # first blocks of a set that its rows carry
 
 
 def shingle_sets(texts: pa.Array, size: int = WORDS):
@@ -248,8 +250,18 @@ def traverse(a: Tree, b: Tree, found: list) -> None:
             stack.extend((a, child) for child in b.children)
 
 
-def block_pairs(nodes, sizes, signatures, groups) -> list:
-    """Candidates among the sets of a block, from different groups."""
+def block_pairs(shingle, nodes, sizes, signatures, groups, parts, early) -> list:
+    """Candidates among the sets of a block, from different groups and, in a block of two parts, different parts.
+
+    A pair comes out of the first block that it shares only, as far as the first blocks of both (``early``) show that.
+    """
+    several = len(set(parts)) > 1
+    own = {node: (part, frozenset(first)) for node, part, first in zip(nodes, parts, early)}
+
+    def here(a, b):
+        (part, first), (other, its) = own[a], own[b]
+        return not (several and part == other) and min(first & its, default=shingle) >= shingle
+
     by_group: dict = {}
     for node, n, bits, group in zip(nodes, sizes, signatures, groups):
         by_group.setdefault(group, {})[node] = (node, int(n), *bitmap(bits))
@@ -257,7 +269,7 @@ def block_pairs(nodes, sizes, signatures, groups) -> list:
     found: list = []
     for a, b in root_pairs(trees):
         traverse(a, b, found)
-    return found
+    return [pair for pair in found if here(*pair)]
 
 
 def root_pairs(trees):
@@ -309,35 +321,36 @@ def _blocks(sets: DataFrame) -> DataFrame:
 
 def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs of nodes (a, b) that are similar, after comparing their sets."""
-    pairs = stored(pairs, "pairs")
-    named = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = stored(named.join(needed, "node"), "needed")
-    asked = maybe_in(needed, "doc_id")
-
-    def packed(batches):
-        for batch in batches:
-            for at, texts in chunks(batch.column(1), CHUNK, places=True):
-                values, bounds = shingle_sets(texts)
-                # Forty bits of each shingle: enough to tell the shingles of two sets apart.
-                five = np.ascontiguousarray((values >> np.uint64(HASH_BITS - 40)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
-                five = [five[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array(set_names(values, bounds)[:, 0]), pa.array(five, pa.binary())],
-                    ["doc_id", "node", "shingles"],
-                )
-
-    found = docs.where(asked("doc_id")).select("doc_id", "text").mapInArrow(packed, "doc_id bigint, node bigint, shingles binary")
-    texts = stored(found.select("node", "shingles"), "sets")
-
-    @F.pandas_udf("boolean")
-    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([_alike(x, y) for x, y in zip(left, right)], dtype=bool)
-
-    a = texts.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    b = texts.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    compared = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(alike("left", "right"))
-    return stored(compared.select("a", "b").distinct(), "links")
+    with scratch(docs.sparkSession):
+        pairs = stored(pairs, "pairs")
+        named = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+        needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        needed = stored(named.join(needed, "node"), "needed")
+        asked = maybe_in(needed, "doc_id")
+
+        def packed(batches):
+            for batch in batches:
+                for at, texts in chunks(batch.column(1), CHUNK, places=True):
+                    values, bounds = shingle_sets(texts)
+                    # Forty bits of each shingle: enough to tell the shingles of two sets apart.
+                    five = np.ascontiguousarray((values >> np.uint64(HASH_BITS - 40)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+                    five = [five[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(at, len(texts)), pa.array(set_names(values, bounds)[:, 0]), pa.array(five, pa.binary())],
+                        ["doc_id", "node", "shingles"],
+                    )
+
+        found = docs.where(asked("doc_id")).select("doc_id", "text").mapInArrow(packed, "doc_id bigint, node bigint, shingles binary")
+        texts = stored(found.select("node", "shingles"), "sets")
+
+        @F.pandas_udf("boolean")
+        def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+            return pd.Series([_alike(x, y) for x, y in zip(left, right)], dtype=bool)
+
+        a = texts.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
+        b = texts.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
+        compared = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(alike("left", "right"))
+        return stored(compared.select("a", "b").distinct(), "links", kept=True)
 
 
 def _alike(left: bytes, right: bytes) -> bool:
@@ -382,10 +395,12 @@ def _across(blocks: DataFrame, groups: DataFrame, signed: DataFrame) -> DataFram
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1),
                                  lambda x: F.struct(F.least(x, F.col("part")).alias("i"), F.greatest(x, F.col("part")).alias("j"))))
+    grouped = stored(grouped.join(stored(mixed, "mixed"), "shingle").withColumn("part", part), "mixed")
+    early = grouped.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("shingle")), 1, EARLY).alias("early"))
     rows = (
-        grouped.join(stored(mixed, "mixed"), "shingle").withColumn("part", part)
-        .select("node", "group", "shingle", pair.alias("at")).select("node", "group", "shingle", "at.*")
-        .join(signed.select("node", "n", "signature"), "node")
+        grouped.select("node", "group", "shingle", "part", pair.alias("at"))
+        .select("node", "group", "shingle", "part", "at.*")
+        .join(signed.select("node", "n", "signature").join(early, "node"), "node")
         .repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
     )
 
@@ -408,7 +423,8 @@ def _across(blocks: DataFrame, groups: DataFrame, signed: DataFrame) -> DataFram
         for end in ends:
             part = frame.iloc[start:end]
             start = end
-            found.update((min(p), max(p)) for p in block_pairs(part["node"], part["n"], part["signature"], part["group"]))
+            columns = (part[x] for x in ("node", "n", "signature", "group", "part", "early"))
+            found.update((min(p), max(p)) for p in block_pairs(part["shingle"].iloc[0], *columns))
         return pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
 
     return rows.mapInPandas(pairs, "a bigint, b bigint").distinct()
@@ -422,15 +438,24 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     are linked with nothing and have no component. Other columns are not read. Empty tables are fine.
     """
     docs = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    all_sets = stored(_sets(docs, _frequent(docs)), "documents")
+    with scratch(docs.sparkSession):
+        return stored(_grouped(docs), "groups", kept=True)
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    with scratch(docs.sparkSession):
+        made = stored(_sets(docs, _frequent(docs)), "made")
+        all_sets = stored(made.select("doc_id", "n", "node", "check"), "documents", kept=True)
+        # One row per distinct set, so that copies of a text, however many, are in its blocks once.
+        distinct = made.where("doc_id is not null and n > 0").groupBy("node")
+        parts = ("n", "signature", "sketch", "rare", "common")
+        signed = stored(distinct.agg(*(F.any_value(x).alias(x) for x in parts)), "signed", kept=True)
     sets = all_sets.where("doc_id is not null and n > 0")
     clash = sets.groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y")
     if not clash.isEmpty():
         raise RuntimeError("two different sets have one name")
-    signed = sets.groupBy("node").agg(*(F.any_value(x).alias(x) for x in ("n", "signature", "sketch")))
-    signed = stored(signed, "signed")
 
-    blocks = _blocks(sets)
+    blocks = _blocks(signed)
     heads = blocks.where("salt > 0").groupBy("shingle").agg(F.min("first").alias("head"))
     pivots = F.when(F.col("node") == F.col("first"), F.array()).otherwise(F.array("first", "last"))
     stars = blocks.select(F.col("node").alias("a"), F.explode(pivots).alias("b")).unionByName(

@@ -87,7 +87,7 @@ def test_blocks_find_every_similar_pair():
         base = random.choice(1 << 40, 60, replace=False)
         sets += [np.unique(np.where(random.random(60) < 0.05, random.integers(1 << 40, size=60), base)).astype(np.uint64) for _ in range(6)]
     found = {tuple(sorted(p)) for p in jaccard.block_pairs(
-        range(len(sets)), map(len, sets), map(jaccard.signature, sets), range(len(sets)))}
+        0, range(len(sets)), map(len, sets), map(jaccard.signature, sets), range(len(sets)), [0] * len(sets), [[]] * len(sets))}
     for i, x in enumerate(sets):
         for j in range(i):
             if jaccard.similar(len(np.intersect1d(x, sets[j])), len(x), len(sets[j])):
