@@ -41,7 +41,7 @@ SALTS = 64
 BLOCK = 4096
 HASH_BITS = 50
 TEXTS = 1 << 13
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 SHARP = 1 << 13
 EARLY = 8  # first blocks of a set that its rows carry
 

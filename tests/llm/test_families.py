@@ -65,7 +65,7 @@ def test_a_pair_comes_out_of_its_first_block():
     assert sorted(pair) == [1, 2]
     assert jaccard.block_pairs(9, *columns, [[5, 9], [5, 9]]) == []
     # What is not known to be shared earlier is not left out.
-    assert len(jaccard.block_pairs(9, *columns, [[4, 9], [5, 9]])) == 0
+    assert len(jaccard.block_pairs(9, *columns, [[4, 9], [5, 9]])) == 1
     assert len(jaccard.block_pairs(9, *columns, [[4], [5, 9]])) == 1
     two_parts = (nodes + [3], [100, 99, 100], [jaccard.signature(x) for x in sets + [base]], nodes + [3], [0, 0, 1])
     found = {frozenset(p) for p in jaccard.block_pairs(5, *two_parts, [[5]] * 3)}
