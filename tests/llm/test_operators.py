@@ -317,6 +317,44 @@ def test_all_copies_within_a_document_are_found(spark):
                 assert len(wanted ^ covered[i]) <= 6 * len(spans), (i, spans)
 
 
+def test_runs_whose_seeds_have_many_holders(spark):
+    """Documents 50 and 60 alone have both halves of a run in a row; each half has twenty more holders on either side."""
+    one, two = prose(90, 30), prose(91, 30)
+    rows = [(50, f"{prose(92, 40)} {one} {two} {prose(93, 40)}"), (60, f"{prose(94, 70)} {one} {two} {prose(95, 20)}")]
+    for i in range(20):
+        for k, half in enumerate((one, two)):
+            rows += [(at + 2 * i + k, f"{prose(200 + 4 * i + k + at, 40)} {half} {prose(900 + 4 * i + k + at, 40)}") for at in (1, 101)]
+    for parts in (1, 7):
+        table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+        found = [(r["start"], r["end"], r["other_id"], r["other_start"], r["other_end"])
+                 for r in passages.repeated(table).where("doc_id = 50").collect()]
+        assert set(found) == {(40, 100, 60, 70, 130)}
+
+
+def test_shared_runs_against_all_runs():
+    random = np.random.default_rng(8)
+    for _ in range(20):
+        common, texts = random.integers(0, 9000, 130), []
+        for i in range(6):
+            own = random.integers(0, 9000, 400)
+            at, start, size = random.integers(0, 200), random.integers(0, 40), random.integers(45, 90)
+            own[at : at + size] = common[start : start + size]
+            texts.append(own[: int(random.integers(300, 400))])
+        hashes = passages.mix64(np.concatenate(texts).astype(np.uint64))
+        bounds = np.append(0, np.cumsum([len(x) for x in texts]))
+        runs, holders = passages._runs_hashed(hashes), {}
+        for t, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+            for u in range(a, b - passages.LEAST + 1):
+                holders.setdefault(tuple(hashes[u : u + passages.LEAST].tolist()), []).append((t, u))
+        assert len({runs[u] for of in holders.values() for _, u in of}) == len(holders)
+        shared = {u for of in holders.values() if len({t for t, _ in of}) > 1 for _, u in of}
+        seed, text, place = passages.seeds(hashes, bounds)
+        met = np.array([len(set(text[seed == x])) > 1 for x in seed])
+        some = np.full(int(met.sum()), passages.SEED)
+        found = passages._shared_runs(hashes, bounds, text[met], place[met], some, some > 0).tolist()
+        assert shared <= set(found) and len(found) <= len(hashes) // 3
+
+
 def test_stretches_that_cover():
     random = np.random.default_rng(4)
     for _ in range(200):
