@@ -39,10 +39,12 @@ def event_slices(events: DataFrame, count: int) -> list:
 
 
 def arriving_events(slices, path: str) -> DataFrame:
-    """A stream of the slices, a file each, which arrive one by one."""
+    """A stream of the slices, which arrive one by one. Each is a file per core, so all cores share a micro-batch."""
+    spark = slices[0].sparkSession
+    files = spark.sparkContext.defaultParallelism
     for rows in slices:
-        rows.coalesce(1).write.mode("append").parquet(path)
-    return slices[0].sparkSession.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(path)
+        rows.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -280,3 +280,20 @@ def test_no_silent_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         shared_folder(Session())
+
+
+def test_arriving_slices_are_shared_by_all_cores(spark, tmp_path):
+    rows = spark.range(4000).selectExpr(
+        "id as event_id", "timestamp_ntz '2024-01-01' as ts", "id % 7 as user_id", "'click' as event_type",
+        "0.5D as value", "'{}' as props")
+    cores, seen = spark.sparkContext.defaultParallelism, []
+    arriving = fx.arriving_events(fx.event_slices(rows, 4), str(tmp_path / "arriving"))
+
+    def note(batch, _):
+        seen.append((batch.selectExpr("input_file_name() as f").groupBy("f").count().collect(), {r[0] for r in batch.select("event_id").collect()}))
+
+    query = arriving.writeStream.foreachBatch(note).option("checkpointLocation", str(tmp_path / "checkpoint"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    assert [ids for _, ids in seen] == [set(range(at, at + 1000)) for at in range(0, 4000, 1000)]
+    for files, _ in seen:
+        assert len(files) == cores and max(row["count"] for row in files) <= 2 * 1000 // cores
