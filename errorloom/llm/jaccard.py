@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from errorloom.llm.common import maybe_in, scratch, stored
+from errorloom.llm.common import Scratch, maybe_in, scratch, stored
 from errorloom.llm.graph import components
 from errorloom.llm.wordscan import chunks, mix64, words
 
@@ -305,7 +305,7 @@ def root_pairs(trees):
                 yield by_width[narrow][i], by_width[wide][at.start + j]
 
 
-def _blocks(sets: DataFrame) -> DataFrame:
+def _blocks(sets: DataFrame, brief: Scratch) -> DataFrame:
     """(shingle, salt, node, first, last): the sets of every block that has at least two, or a frequent shingle."""
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int") + 1
     rows = sets.select("node", F.explode("rare").alias("shingle"), F.lit(0).alias("salt")).unionByName(
@@ -315,7 +315,7 @@ def _blocks(sets: DataFrame) -> DataFrame:
     return stored(
         rows.withColumn("first", F.min("node").over(block)).withColumn("last", F.max("node").over(block))
         .where("first <> last or salt > 0"),
-        "blocks",
+        "blocks", within=brief,
     )
 
 
@@ -350,7 +350,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
         a = texts.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
         b = texts.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
         compared = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(alike("left", "right"))
-        return stored(compared.select("a", "b").distinct(), "links", kept=True)
+        return stored(compared.select("a", "b").distinct(), "links", kept=1)
 
 
 def _alike(left: bytes, right: bytes) -> bool:
@@ -375,27 +375,29 @@ def _near(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(size).where(possible("na", "sa", "nb", "sb")).select("a", "b")
 
 
-def _across(blocks: DataFrame, groups: DataFrame, signed: DataFrame) -> DataFrame:
-    """Candidate pairs from different groups, block by block."""
+def _across(blocks: DataFrame, groups: DataFrame, signed: DataFrame, brief: Scratch) -> DataFrame:
+    """Candidate pairs from different groups, block by block. The blocks are gone (``brief``) once they have their groups."""
     grouped = (
         blocks.select("shingle", "node").distinct()
         .join(groups.withColumnRenamed("component", "group"), "node", "left")
         .withColumn("group", F.coalesce("group", "node"))
     )
-    grouped = stored(grouped, "grouped")
-    # A passage that the same sets share gives as many equal blocks as it has shingles: one of them is enough.
-    members = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"members{i}") for i in (1, 2)]
-    mixed = (
-        grouped.groupBy("shingle")
-        .agg(F.min("group").alias("least"), F.max("group").alias("most"), F.count(F.lit(1)).alias("sets"), *members)
-        .where("least <> most")
-        .groupBy("least", "most", "sets", "members1", "members2").agg(F.min("shingle").alias("shingle"))
-        .select("shingle", F.ceil(F.col("sets") / BLOCK).cast("int").alias("parts"))
-    )
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    with scratch(signed.sparkSession):
+        grouped = stored(grouped, "grouped")
+        brief.remove()
+        # A passage that the same sets share gives as many equal blocks as it has shingles: one of them is enough.
+        members = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"members{i}") for i in (1, 2)]
+        mixed = (
+            grouped.groupBy("shingle")
+            .agg(F.min("group").alias("least"), F.max("group").alias("most"), F.count(F.lit(1)).alias("sets"), *members)
+            .where("least <> most")
+            .groupBy("least", "most", "sets", "members1", "members2").agg(F.min("shingle").alias("shingle"))
+            .select("shingle", F.ceil(F.col("sets") / BLOCK).cast("int").alias("parts"))
+        )
+        grouped = stored(grouped.join(stored(mixed, "mixed"), "shingle").withColumn("part", part), "mixed", kept=1)
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1),
                                  lambda x: F.struct(F.least(x, F.col("part")).alias("i"), F.greatest(x, F.col("part")).alias("j"))))
-    grouped = stored(grouped.join(stored(mixed, "mixed"), "shingle").withColumn("part", part), "mixed")
     early = grouped.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("shingle")), 1, EARLY).alias("early"))
     rows = (
         grouped.select("node", "group", "shingle", "part", pair.alias("at"))
@@ -438,24 +440,27 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     are linked with nothing and have no component. Other columns are not read. Empty tables are fine.
     """
     docs = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    with scratch(docs.sparkSession):
-        return stored(_grouped(docs), "groups", kept=True)
+    with scratch(docs.sparkSession) as brief, scratch(docs.sparkSession):
+        return stored(_grouped(docs, brief), "groups", kept=2)
 
 
-def _grouped(docs: DataFrame) -> DataFrame:
+def _grouped(docs: DataFrame, brief: Scratch) -> DataFrame:
     with scratch(docs.sparkSession):
-        made = stored(_sets(docs, _frequent(docs)), "made")
-        all_sets = stored(made.select("doc_id", "n", "node", "check"), "documents", kept=True)
-        # One row per distinct set, so that copies of a text, however many, are in its blocks once.
-        distinct = made.where("doc_id is not null and n > 0").groupBy("node")
-        parts = ("n", "signature", "sketch", "rare", "common")
-        signed = stored(distinct.agg(*(F.any_value(x).alias(x) for x in parts)), "signed", kept=True)
+        with scratch(docs.sparkSession):
+            made = stored(_sets(docs, _frequent(docs)), "made")
+            all_sets = stored(made.select("doc_id", "n", "node", "check"), "documents", kept=2)
+            # One row per distinct set, so that copies of a text, however many, are in its blocks once. The prefixes, most
+            # of a row, are apart as only the blocks need them.
+            distinct = made.where("doc_id is not null and n > 0").groupBy("node")
+            one = lambda *names: distinct.agg(*(F.any_value(x).alias(x) for x in names))
+            signed = stored(one("n", "signature", "sketch"), "signed", kept=2)
+            prefixes = stored(one("rare", "common"), "prefixes", kept=1)
+        blocks = _blocks(prefixes, brief)
     sets = all_sets.where("doc_id is not null and n > 0")
     clash = sets.groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y")
     if not clash.isEmpty():
         raise RuntimeError("two different sets have one name")
 
-    blocks = _blocks(signed)
     heads = blocks.where("salt > 0").groupBy("shingle").agg(F.min("first").alias("head"))
     pivots = F.when(F.col("node") == F.col("first"), F.array()).otherwise(F.array("first", "last"))
     stars = blocks.select(F.col("node").alias("a"), F.explode(pivots).alias("b")).unionByName(
@@ -468,7 +473,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     repeats = sets.join(least.select("doc_id", "b"), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
     links = links.unionByName(repeats)
     first = components(links)
-    more = _linked(_across(blocks, first, signed), sets, docs)
+    more = _linked(_across(blocks, first, signed, brief), sets, docs)
     nodes = first if more.isEmpty() else components(links.unionByName(more))
 
     placed = sets.select("doc_id", "node").join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
