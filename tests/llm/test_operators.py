@@ -1,6 +1,7 @@
 """The operators on small tables: awkward rows, empty tables, and brute force."""
 
 import hashlib
+import os
 import zlib
 
 import numpy as np
@@ -362,3 +363,21 @@ def test_stretches_that_cover():
         kept = passages._cover(place, size)
         cover = lambda some: {w for p, n in zip(place[some], size[some]) for w in range(p, p + n)}
         assert cover(kept) == cover(np.ones(12, bool))
+
+
+def test_tables_of_the_jaccard_join_go_once_read(docs, monkeypatch):
+    own, kept, paths = jaccard.stored, [], {}
+
+    def placed(df, name, **more):
+        table = own(df, name, **more)
+        files = table.inputFiles()
+        if files:
+            paths[name] = os.path.dirname(files[0].removeprefix("file:").replace("///", "/"))
+        if name == "pairs":
+            kept.append({x for x, path in paths.items() if os.path.exists(path)})
+        return table
+
+    monkeypatch.setattr(jaccard, "stored", placed)
+    jaccard.groups(docs)
+    assert len(kept) == 2 and "blocks" in kept[0] and not {"made", "prefixes"} & kept[0]
+    assert not {"made", "prefixes", "blocks", "grouped"} & kept[1]
