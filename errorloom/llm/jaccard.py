@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from errorloom.llm.common import Scratch, maybe_in, scratch, stored
+from errorloom.llm.common import Scratch, lean, maybe_in, scratch, stored
 from errorloom.llm.graph import components
 from errorloom.llm.wordscan import chunks, mix64, words
 
@@ -130,7 +130,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
                 [pa.array(found[starts[often]].view(np.int64)), pa.array(n[often])], ["shingle", "n"]
             )
 
-    rows = docs.select("text").mapInArrow(counted, "shingle bigint, n bigint")
+    rows = docs.select("text").mapInArrow(lean(counted), "shingle bigint, n bigint")
     top = rows.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT)
     return np.sort(top.select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64))
 
@@ -170,7 +170,7 @@ def _sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 at += len(texts)
 
     columns = "doc_id bigint, n bigint, node bigint, check bigint, signature binary, sketch binary"
-    return docs.select("doc_id", "text").mapInArrow(made, f"{columns}, rare array<bigint>, common array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(lean(made), f"{columns}, rare array<bigint>, common array<bigint>")
 
 
 def similar(shared: int, a: int, b: int) -> bool:
@@ -340,7 +340,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
                         ["doc_id", "node", "shingles"],
                     )
 
-        found = docs.where(asked("doc_id")).select("doc_id", "text").mapInArrow(packed, "doc_id bigint, node bigint, shingles binary")
+        found = docs.where(asked("doc_id")).select("doc_id", "text").mapInArrow(lean(packed), "doc_id bigint, node bigint, shingles binary")
         texts = stored(found.select("node", "shingles"), "sets")
 
         @F.pandas_udf("boolean")
@@ -429,7 +429,7 @@ def _across(blocks: DataFrame, groups: DataFrame, signed: DataFrame, brief: Scra
             found.update((min(p), max(p)) for p in block_pairs(part["shingle"].iloc[0], *columns))
         return pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
 
-    return rows.mapInPandas(pairs, "a bigint, b bigint").distinct()
+    return rows.mapInPandas(lean(pairs), "a bigint, b bigint").distinct()
 
 
 def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from errorloom.llm.common import stored, tasks
+from errorloom.llm.common import lean, stored, tasks
 from errorloom.llm.tokens import END, encode_all, vocabulary_path
 
 SEQUENCE = 2048
@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, most: int = SEQUENCE, path: str = "", id_column: str
                         ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
                        + [("ids", pa.binary())] * with_ids)
     ddl = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
-    return docs.select(F.col(f"`{id_column}`"), F.col(f"`{text_column}`").cast("string")).mapInArrow(encode, ddl)
+    return docs.select(F.col(f"`{id_column}`"), F.col(f"`{text_column}`").cast("string")).mapInArrow(lean(encode), ddl)
 
 
 def sweeps(counts: dict, most: int = SEQUENCE) -> list:

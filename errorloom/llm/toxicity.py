@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from errorloom.llm.common import give_back, lean
 from errorloom.llm.wordscan import MARKS, chunks, words
 
 BINS = 1 << 18
 BEGINNINGS = (4, 5)
 SAMPLE = 12_000
-CHUNK = 2 << 20  # bytes of text looked at together
+CHUNK = 1 << 19  # bytes of text looked at together
 TERMS = 1024
 LEAST_DOCUMENTS = 3
 FACTORS = 8
@@ -134,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "d
     rows = (
         training_rows(docs, labels, learn, id_column, label_column, most)
         .select(F.col("_text").cast("string"), "label", F.xxhash64("_id").alias("order"))
-        .mapInArrow(seen, "bins array<int>, label int, order bigint")
+        .mapInArrow(lean(seen), "bins array<int>, label int, order bigint")
         .toArrow()
         .sort_by([("order", "ascending")])
     )
@@ -153,7 +154,10 @@ def score(docs: DataFrame, machine: Machine, text_column: str = "text") -> DataF
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         column = pa.Array.from_pandas(texts, type=pa.large_string())
-        return pd.Series(np.concatenate([np.zeros(0), *(machine.scores(part) for part in chunks(column, CHUNK))]))
+        scores = [np.zeros(0), *(machine.scores(part) for part in chunks(column, CHUNK))]
+        del column
+        give_back()
+        return pd.Series(np.concatenate(scores))
 
     return docs.withColumn("score", scored(F.col(f"`{text_column}`").cast("string"))).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int")
