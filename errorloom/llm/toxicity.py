@@ -83,19 +83,20 @@ def fit(bins: list, labels: list, epochs: int = 30, rate: float = 0.05, shrink:
     share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.0
     if not len(y) or y.min() == y.max():
         return Machine(prior=float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    shown = np.concatenate([np.asarray(b, dtype=np.int64) for b in bins])
-    doc = np.repeat(np.arange(len(y)), [len(b) for b in bins])
+    shown = np.concatenate([np.asarray(b, dtype=np.int32) for b in bins])
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), [len(b) for b in bins])
     ones, all_ = np.bincount(shown, y[doc], minlength=BINS), np.bincount(shown, minlength=BINS)
     n1, n0 = y.sum(), len(y) - y.sum()
     spread = np.sqrt(np.maximum(all_ / len(y) * (1 - all_ / len(y)), 1 / len(y)) * (1 / n1 + 1 / n0))
     lift = np.where(all_ >= LEAST_DOCUMENTS, np.abs(ones / n1 - (all_ - ones) / n0) / spread, 0)
     chosen = np.sort(np.argsort(-lift, kind="stable")[:TERMS])
     chosen = chosen[lift[chosen] > 0]
-    index = np.full(BINS, -1)
+    index = np.full(BINS, -1, dtype=np.int32)
     index[chosen] = np.arange(len(chosen))
     x = np.zeros((len(y), len(chosen)), dtype=np.float32)
     term = index[shown]
     x[doc[term >= 0], term[term >= 0]] = 1
+    del shown, doc, term
 
     random = np.random.default_rng(SEED)
     state = [np.zeros(1), np.zeros(len(chosen)), random.normal(0, 0.01, (len(chosen), FACTORS))]
@@ -141,7 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "d
     )
     bins = rows["bins"].combine_chunks()
     bounds, flat = bins.offsets.to_numpy(), bins.values.to_numpy()
-    return fit([flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])], rows["label"].to_pylist())
+    machine = fit([flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])], rows["label"].to_pylist())
+    del rows, bins, bounds, flat
+    give_back()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, text_column: str = "text") -> DataFrame:

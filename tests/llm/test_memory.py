@@ -38,6 +38,17 @@ def test_scores_of_many_bytes_need_few_more(texts):
     assert most < 32 << 20
 
 
+def test_fitting_needs_little_beside_its_table():
+    rng = np.random.default_rng(7)
+    bins = [np.unique(rng.integers(0, 3000, 400)).astype(np.int32) for _ in range(4000)]
+    labels = [int(10 in own or 77 in own) for own in bins]
+    tracemalloc.start()
+    toxicity.fit(bins, labels, epochs=1)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < (4 * len(bins) * toxicity.TERMS + 32 * sum(map(len, bins)))
+
+
 def test_words_do_not_depend_on_the_stretch(texts, monkeypatch):
     whole, bounds = wordscan.words(texts.slice(0, 200))
     monkeypatch.setattr(wordscan, "STRETCH", 100)
