@@ -12,8 +12,6 @@ import corpus_pipeline
 from errorloom.llm import toxicity, wordscan
 from errorloom.llm.common import ship
 
-SF_DIR = "/root/testdata/sf0.001"
-
 
 def held():
     return int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
@@ -74,15 +72,17 @@ def test_memory_goes_back_after_every_batch():
     assert max(*seen, held()) < before + 60
 
 
-def test_stages_read_few_rows_at_a_time(spark):
+def test_stages_read_few_rows_at_a_time(spark, tmp_path):
     names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
     before = {name: spark.conf.get(name, None) for name in [*names, "parquet.hadoop.vectored.io.enabled"]}
     try:
         for name in before:
             spark.conf.unset(name)
-        docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
-        kept = dict(corpus_pipeline.STAGES)["exact dedup"](spark, docs, SF_DIR)
-        assert kept.count() == docs.fillna("", "text").select("text").distinct().count()
+        rows = [(i, None if i == 7 else f"text {i % 900}") for i in range(1500)]
+        spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        kept = dict(corpus_pipeline.STAGES)["exact dedup"](spark, docs, str(tmp_path))
+        assert sorted(r["doc_id"] for r in kept.collect()) == [7, *range(600, 1500)]
         assert [int(spark.conf.get(name)) for name in names] == [2000, 512]
         assert spark.conf.get("parquet.hadoop.vectored.io.enabled") == "false"
         # What the user has chosen stays, or the smaller.
